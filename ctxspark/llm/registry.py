@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, quality, sharding
+from . import decontamination, mixing, near_dup, quality, sharding
 
 QUERIES: dict[str, Callable] = {
+    "op1_spaced_seeds": decontamination.op1_spaced_seeds,
     "op2_quality_votes": quality.op2_quality_votes,
     "op4_lpt_shards": sharding.op4_lpt_shards,
     "op8_fair_mix": mixing.op8_fair_mix,
+    "op10_dart_minhash": near_dup.op10_dart_minhash,
 }
 
 ORACLES: dict[str, str] = {}
