@@ -11,6 +11,7 @@ source's order, then pass. Empty tables give empty results; extra columns are ig
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import load, materialize, n_words, ranked
@@ -69,5 +70,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return rows.select(id_col, *carry, "size", "source_size", "target", (taken * F.col("size")).cast("long").alias("taken"))
 
 
+def resample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it (0 to PASSES times), with its own columns; a row without words stays
+    once. Texts are shuffled once, by id and text hash; repeated rows get their decisions in turn."""
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    picked = mix(docs.select(F.col(id_col).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"), key.alias("_hash")), "_id", "_text", "_source", ("_hash",))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size")).cast("int")
+    picked = picked.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_i"), "_hash", times.alias("times"))
+    picked = picked.groupBy("_i", "_hash").agg(F.sort_array(F.collect_list("times"), asc=False).alias("times"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = docs.select(row, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"), key.alias("_hash"))
+    own = own.withColumn("_n", F.row_number().over(W.partitionBy("_i", "_hash").orderBy(F.lit(0))))
+    out = own.join(picked, ["_i", "_hash"]).withColumn("_times", F.get("times", F.col("_n") - 1))
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_row.*")
+
+
 def op8_fair_mix(spark, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents", "doc_id", "text", "source"))

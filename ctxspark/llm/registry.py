@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, mixing, near_dup, quality, sharding
+import corpus_pipeline
+
+from . import decontamination, html, mixing, near_dup, quality, sharding, tokens, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_spaced_seeds": decontamination.op1_spaced_seeds,
     "op2_quality_votes": quality.op2_quality_votes,
+    "op3_viterbi_counts": tokens.op3_viterbi_counts,
     "op4_lpt_shards": sharding.op4_lpt_shards,
+    "op7_merkle_audit": warc.op7_merkle_audit,
     "op8_fair_mix": mixing.op8_fair_mix,
+    "op9_html_blocks": html.op9_html_blocks,
     "op10_dart_minhash": near_dup.op10_dart_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_merkle_audit": warc.OP7_SQL,
+}
