@@ -19,10 +19,11 @@ extra columns are ignored (classes) or kept (first_of_each)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -100,33 +101,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["_key", "_id", "_bands"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sims = [similarity(x, y, K) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+        sims = [similarity(x, y, k) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, _rep, class_id) for each different text of docs: its hash, its smallest id and its class's smallest id. The
-    texts' links are found by rounds of pivots, see above."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.unhex(F.md5(t)).alias("_key"), F.col(id_col).cast("long").alias("_id"), t.alias("_text"))
-    schema = "_key binary, _id long, _bands array<long>"
-    nodes = rows.mapInArrow(_signed, schema).groupBy("_key").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"))
-    nodes = materialize(ranked(nodes, [F.col("_key")]).withColumnRenamed("_rank", "node"))
-
-    banded = nodes.select("node", F.explode("_bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"))
-    used = members.select("node").distinct()
-    wanted = nodes.join(used, "node").select("node", F.col("_key").alias("k"), F.col("_rep").alias("r"))
-    texts = rows.join(wanted, (F.col("_key") == F.col("k")) & (F.col("_id") == F.col("r"))).groupBy("k", "r", "node").agg(F.first("_text").alias("text"))
-    texts = materialize(texts.select("node", "text"))
+def linked(members: DataFrame, texts: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, comp), found by rounds of pivots, see above: the components of the graph that links texts(node, text) of
+    similarity threshold or more which share a bucket of members(bucket, node); nodes without a link may be missing."""
+    compared = partial(_compared, k=k)
 
     def compare(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(_compared, "a long, b long, sim double"))
+        return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(compared, "a long, b long, sim double"))
 
     def pair(x, y) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -136,7 +125,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     pairs = members.join(pivots, "bucket").where("node <> pivot").select(*pair(F.col("node"), F.col("pivot"))).distinct()
     sims = compare(pairs)
     while True:
-        comp = components(sims.where(F.col("sim") >= THRESHOLD), "a", "b")
+        comp = components(sims.where(F.col("sim") >= threshold), "a", "b")
         placed = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
         mixed_up = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         placed = materialize(placed.join(mixed_up, "bucket"))
@@ -145,7 +134,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         rest = placed.join(done.select("bucket", "node"), ["bucket", "node"], "left_anti")
         joined = rest.join(past, (rest.bucket == past.pb) & (rest.comp == past.pc), "left_semi").select("bucket", "node").withColumn("joined", F.lit(True))
         # a member in a pivot's neighbourhood may link to what joined that pivot
-        near = sims.where((F.col("sim") < THRESHOLD) & (F.col("sim") >= 2 * THRESHOLD - 1))
+        near = sims.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))
         near = near.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y")))
         close = rest.join(near, rest.node == near.x).join(past, (F.col("bucket") == past.pb) & (F.col("y") == past.pivot) & (F.col("comp") != past.pc), "left_semi").select("bucket", "node").distinct().withColumn("close", F.lit(True))
         open_ = rest.join(joined, ["bucket", "node"], "left").join(close, ["bucket", "node"], "left").where("joined IS NULL OR close")
@@ -157,9 +146,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         sims = materialize(sims.unionByName(compare(pairs.join(sims, ["a", "b"], "left_anti"))))
         pivots = materialize(pivots.unionByName(new.select("bucket", "pivot")))
 
+    return comp
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, _rep, class_id, is_head) for each different text of docs: its hash, its smallest id, its class's smallest id
+    and whether it is the text of that. A null id counts as the largest number."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.unhex(F.md5(t)).alias("_key"), _number(id_col).alias("_id"), t.alias("_text"))
+    schema = "_key binary, _id long, _bands array<long>"
+    nodes = rows.mapInArrow(_signed, schema).groupBy("_key").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"))
+    nodes = materialize(ranked(nodes, [F.col("_key")]).withColumnRenamed("_rank", "node"))
+
+    banded = nodes.select("node", F.explode("_bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialize(banded.join(shared, "bucket"))
+    used = members.select("node").distinct()
+    wanted = nodes.join(used, "node").select("node", F.col("_key").alias("k"), F.col("_rep").alias("r"))
+    texts = rows.join(wanted, (F.col("_key") == F.col("k")) & (F.col("_id") == F.col("r"))).groupBy("k", "r", "node").agg(F.first("_text").alias("text"))
+    texts = materialize(texts.select("node", "text"))
+
+    comp = linked(members, texts)
     found = nodes.join(comp, "node", "left").select("_key", "_rep", F.coalesce("comp", "node").alias("comp"))
-    heads = found.groupBy("comp").agg(F.min("_rep").alias("class_id"))
-    return materialize(found.join(heads, "comp").select("_key", "_rep", "class_id"))
+    heads = found.groupBy("comp").agg(F.min(F.struct("_rep", "_key")).alias("head"))
+    return materialize(found.join(heads, "comp").select("_key", "_rep", F.col("head._rep").alias("class_id"), (F.col("_key") == F.col("head._key")).alias("is_head")))
+
+
+def _number(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,10 +184,10 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest id, with all its columns; of repeated rows, one."""
-    heads = classes(docs, id_col, text).where("_rep = class_id").select("_key", F.col("_rep").alias("_head"))
+    heads = classes(docs, id_col, text).where("is_head").select("_key", F.col("_rep").alias("_head"))
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(F.struct(*own).alias("_row"), key.alias("_key"), F.col(id_col).cast("long").alias("_head")).join(heads, ["_key", "_head"])
+    kept = docs.select(F.struct(*own).alias("_row"), key.alias("_key"), _number(id_col).alias("_head")).join(heads, ["_key", "_head"])
     return kept.groupBy("_key", "_head").agg(F.first("_row").alias("_row")).select("_row.*")
 
 

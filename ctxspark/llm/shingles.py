@@ -76,6 +76,18 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     return of[use], h[use]
 
 
+def first_least(hashes: np.ndarray, start: np.ndarray, reach: int) -> np.ndarray:
+    """For each start, the place of the least hash (by its upper 34 bits, the first of ties) among reach places from it.
+    Least values of blocks, from their ends inwards, give that of any run of a block's length."""
+    pos = np.arange(len(hashes), dtype=np.uint64)
+    key = ((hashes >> np.uint64(30)) << np.uint64(30)) | pos
+    pad = -len(key) % reach + reach
+    key = np.concatenate([key, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, reach)
+    ahead = np.minimum.accumulate(key, 1).ravel()
+    back = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(back[start], ahead[start + reach - 1]) & np.uint64((1 << 30) - 1)).astype(np.int64)
+
+
 def weighted(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (text, shingle) pairs, sorted, with their counts."""
     order = np.lexsort((h, of))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load, materialize
-from .shingles import mixed
+from .shingles import first_least, mixed
 
 WIDTH, REACH, TRIGGER = 400, 160, 24
 CORE = WIDTH - REACH + 1
@@ -80,17 +80,10 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """The phrases of texts: text number, parse-suffix hash, whole hash, first and last start of its strings."""
     out: list[tuple[np.ndarray, ...]] = []
     for own, data, at in _chunks(texts):
-        rolled, n = Rolled(data), len(data)
-        pos = np.arange(n - TRIGGER + 1)
-        key = rolled.hash(pos, pos + TRIGGER)
-        pad = -len(key) % REACH
-        # the low bits hold the place, so the least key is the first of the smallest hashes
-        key = ((key >> np.uint64(30)) << np.uint64(30)) | pos.astype(np.uint64)
-        key = np.concatenate([key, np.full(pad + REACH, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, REACH)
-        ahead = np.minimum.accumulate(key, 1).ravel()
-        back = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
+        rolled = Rolled(data)
+        pos = np.arange(len(data) - TRIGGER + 1)
         start = np.concatenate([np.arange(a, b - WIDTH + 1) for a, b in zip(at[:-1], at[1:], strict=True)])
-        trigger = (np.minimum(back[start], ahead[start + REACH - 1]) & np.uint64((1 << 30) - 1)).astype(np.int64)
+        trigger = first_least(rolled.hash(pos, pos + TRIGGER), start, REACH)
         first = np.flatnonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))
         lo, hi, b = start[first], start[np.append(first[1:], len(start)) - 1], trigger[first]
         of = np.searchsorted(at, lo, "right") - 1
