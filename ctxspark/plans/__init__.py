@@ -1,4 +1,9 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries, each with its oracle SQL where SQL can say it."""
+
+from ctxspark.plans import aggregates, graphs, scalars, searches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (scalars, aggregates, graphs, searches):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES

@@ -1,0 +1 @@
+"""Sources: source trees, git history, reports, requirement exports, configuration."""
