@@ -41,10 +41,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends there, and any executor can read it."""
+    """df written once as Parquet in the shared folder and read again: lineage ends there, and any executor can read it.
+    The driver's garbage goes too, as Spark keeps a finished job's shuffle files on the executors' disks until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

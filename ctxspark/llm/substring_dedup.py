@@ -140,9 +140,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(_key, spans): for each text's 64-bit hash, intervals [lo, end) of bytes whose union is what goes."""
     rows = docs.select(F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text")).where(F.octet_length("_text") >= WIDTH)
-    table = materialize(rows.mapInArrow(_phrases, "_key long, core long, whole long, lo int, hi int"))
-    again = table.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    table = materialize(table.join(again, "core"))
+    # parsed twice, for the counts and for the rows: cheaper than a table of all phrases
+    phrases = rows.mapInArrow(_phrases, "_key long, core long, whole long, lo int, hi int")
+    again = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    table = materialize(phrases.join(again, "core"))
     count = table.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "lo", "hi")).alias("one"))
     count = materialize(count)
     settled = table.join(count.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("_key", "lo", (F.col("hi") + WIDTH).alias("end")).distinct()
