@@ -18,8 +18,8 @@ def index_tree(store: Store, tree: DataFrame, now: int, force: bool = False) ->
     changed files."""
     tree = tree.persist()
     old = store.read("files")
-    todo = tree if force or store.needs_reparse() else source.changed(tree, old)
-    todo = todo.persist()
+    todo = source.sources(tree)
+    todo = (todo if force or store.needs_reparse() else source.changed(todo, old)).persist()
     n = todo.count()
     ids = tree.select(F.xxhash64("path").alias("file_id"))
     fresh = todo.select(F.xxhash64("path").alias("file_id"))

@@ -241,7 +241,8 @@ def week(ts: Column) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Between 0 and 1; null stays null, which greatest and least would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def time_ago(ts: Column, now: Column) -> Column:

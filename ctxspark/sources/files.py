@@ -124,9 +124,13 @@ def language_column(path: Column) -> Column:
     return table[F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))]
 
 
+def sources(tree: DataFrame) -> DataFrame:
+    """The tree without manifests."""
+    return tree.where(~F.substring_index("path", "/", -1).isin(*MANIFESTS))
+
+
 def file_rows(tree: DataFrame, parsed_at: int) -> DataFrame:
     """files rows from a source tree; ids come from the path, so they are the same in every run."""
-    tree = tree.where(~F.substring_index("path", "/", -1).isin(*MANIFESTS))
     return tree.select(F.xxhash64("path").alias("id"), "path", F.sha2("content", 256).alias("hash"), "mtime", "size", language_column(F.col("path")).alias("language"), F.lit(parsed_at).cast("long").alias("parsed_at"))
 
 

@@ -22,19 +22,19 @@ class Store:
         self._fs, self._path = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
     def _read_pointer(self) -> dict:
-        p = self._path(f"{self.root}/_CURRENT")
+        p = self._path(f"{self.root}/CURRENT.json")
         if not self._fs.exists(p):
             return {"version": VERSION, "tables": {}, "metadata": {}}
-        lines = self.spark.read.text(f"{self.root}/_CURRENT", wholetext=True).first()
+        lines = self.spark.read.text(f"{self.root}/CURRENT.json", wholetext=True).first()
         return json.loads(lines[0])
 
     def _move_pointer(self, pointer: dict) -> None:
-        new = self._path(f"{self.root}/_NEXT")
+        new = self._path(f"{self.root}/NEXT.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/_CURRENT"), False)
-        self._fs.rename(new, self._path(f"{self.root}/_CURRENT"))
+        self._fs.delete(self._path(f"{self.root}/CURRENT.json"), False)
+        self._fs.rename(new, self._path(f"{self.root}/CURRENT.json"))
 
     def read(self, table: str) -> DataFrame:
         at = self._read_pointer()["tables"].get(table)
