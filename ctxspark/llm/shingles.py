@@ -11,7 +11,7 @@ import xxhash
 
 WORDS = re.compile(r"\w+")
 #: Words remembered by a worker; then it starts anew. Memory only, results don't depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Words that are worked on at once; a longer text is a chunk of its own.
 CHUNK = 200_000
 #: Increment and multipliers of the splitmix64 generator: fixed values.
@@ -98,14 +98,20 @@ def weighted(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return of[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sets given as sorted hashes and their counts: the sum of smaller by that of larger
+    counts; 0 if both are empty."""
+    (h, c), (g, d) = a, b
+    if not len(h) or not len(g):
+        return 0.0
+    at = np.minimum(np.searchsorted(g, h), len(g) - 1)
+    both = int(np.minimum(c, d[at])[g[at] == h].sum())
+    return both / (int(c.sum()) + int(d.sum()) - both)
+
+
 def similarity(a: str | None, b: str | None, k: int) -> float:
-    """Weighted Jaccard similarity of two texts' shingles: the sum of smaller by that of larger counts; 0 if both are empty."""
+    """The same for the shingles of two texts."""
     x, y = word_hashes(a), word_hashes(b)
-    of, h = shingles(np.concatenate([x, y]), np.array([len(x), len(y)]), k)
-    if not len(h):
-        return 0.0
-    of, h, c = weighted(of, h)
+    of, h, c = weighted(*shingles(np.concatenate([x, y]), np.array([len(x), len(y)]), k))
     m = np.searchsorted(of, 1)
-    _, i, j = np.intersect1d(h[:m], h[m:], assume_unique=True, return_indices=True)
-    both = int(np.minimum(c[:m][i], c[m:][j]).sum())
-    return both / (int(c.sum()) - both)
+    return overlap((h[:m], c[:m]), (h[m:], c[m:]))
