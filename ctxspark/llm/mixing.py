@@ -43,13 +43,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """id_col, carry, size, source_size, target and taken for every row of docs."""
     t, s = F.col(text), F.col(source)
-    rows = docs.select(id_col, *carry, s.alias("source"), n_words(t).alias("size"), F.xxhash64(F.lit(42), F.col(id_col), t).alias("_dice"))
-    rows = ranked(rows, [F.col("source").asc_nulls_last(), F.col("_dice"), F.col(id_col), F.col("size")], ["size"])
+    rows = docs.select(id_col, *carry, s.alias("_src"), n_words(t).alias("size"), F.xxhash64(F.lit(42), F.col(id_col), t).alias("_dice"))
+    rows = ranked(rows, [F.col("_src").asc_nulls_last(), F.col("_dice"), F.col(id_col), F.col("size")], ["size"])
     rows = materialize(rows)
-    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_before_size").alias("_start"))
+    by = rows.groupBy(F.col("_src").alias("source")).agg(F.sum("size").alias("source_size"), F.min("_before_size").alias("_start"))
     goal = targets(by.select("source", "source_size")).withColumnRenamed("source", "_s")
     by = by.join(goal.drop("source_size"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s")
-    rows = rows.join(by, F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.join(by, F.col("_src").eqNullSafe(F.col("_s")))
     rows = rows.withColumn("_upto", F.col("_before_size") - F.col("_start") + F.col("size"))
 
     def finish(n: Column) -> Column:
