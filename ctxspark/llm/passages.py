@@ -5,7 +5,7 @@ least shingle hash among REACH places. Any WINDOW + REACH words in a row hold an
 same one wherever they stand. Paragraphs whose anchor shingle is the only one of its kind have no copy and go first;
 equal paragraphs are one node. BANDS bands of ROWS MinHash values (two values, four bands: a pair of Jaccard similarity
 0.8 meets with probability 0.98, one of 0.9 with 0.999) deal nodes to buckets, near_dup.linked verifies exact Jaccard
-similarity along pivots, and components are the classes of removal: of a class that occurs in two or more documents,
+similarity, and components are the classes of removal: of a class that occurs in two or more documents,
 the document with the smallest id keeps its paragraph and the others lose theirs.
 
 Null text counts as empty; texts of fewer than WINDOW + REACH words have no paragraphs. Equal texts are documents that
@@ -15,6 +15,7 @@ largest number. Empty tables give empty results; extra columns are ignored."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,63 +23,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load, materialize
-from .near_dup import _number, linked
-from .shingles import WORDS, chunks, first_least, mixed, step, word_hashes
+from .near_dup import _number, linked, sketches
+from .shingles import GOLDEN, WORDS, chunks, first_least, mixed, step, word_hashes
 from .substring_dedup import removed
 
 K, WINDOW, REACH = 5, 25, 25
 BANDS, ROWS = 4, 2
+#: MinHash values of sketches, and agreement that makes a link likely (short ones) or below which there is none (long ones,
+#: four deviations).
+COORDS, FINE, SURE, LIKELY, CUT, THRESHOLD = 64, 400, 0.76, 0.79, 0.72, 0.8
 
 
-def anchors(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first word, hash of the first shingle) of each paragraph of texts given as word hashes."""
+def anchors(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, first word, hash of the first shingle, hash of all) of each paragraph of texts given as word hashes."""
     at = np.cumsum([0, *counts])
     start = np.concatenate([np.arange(a, b - WINDOW - REACH + 1) for a, b in zip(at[:-1], at[1:], strict=True)] or [np.zeros(0)]).astype(np.int64)
     if not len(start):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     h = _grams(hashes)
     place = np.unique(first_least(h, start, REACH))
     of = np.searchsorted(at, place, "right") - 1
-    return of, place - at[of], h[place]
+    node = np.zeros(len(place), np.uint64)
+    for j in range(0, WINDOW - K + 1, K):
+        node = mixed(node * np.uint64(0xBF58476D1CE4E5B9) + h[place + j])
+    return of, place - at[of], h[place], node
 
 
 def _grams(hashes: np.ndarray) -> np.ndarray:
-    n = len(hashes) - K + 1
-    h = np.zeros(max(n, 0), np.uint64)
+    """Shingle hashes along the last axis."""
+    n = hashes.shape[-1] - K + 1
+    h = np.zeros((*hashes.shape[:-1], max(n, 0)), np.uint64)
     for j in range(K):
-        h = mixed(h * np.uint64(0xBF58476D1CE4E5B9) + hashes[j : j + n] + step(j + 1))
+        h = mixed(h * np.uint64(0xBF58476D1CE4E5B9) + hashes[..., j : j + n] + step(j + 1))
     return h
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, words, counts in chunks(b.column(1).to_pylist()):
-            of, at, h = anchors(words, counts)
+            of, at, h, node = anchors(words, counts)
             if len(of):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + first)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["_key", "at", "anchor"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + first)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(node.view(np.int64))], names=["_key", "at", "anchor", "node"])
 
 
-def bands(grams: np.ndarray) -> np.ndarray:
-    """The BANDS bucket hashes of a paragraph's shingle hashes."""
-    least = [mixed(grams ^ step(1000 + j)).min() for j in range(BANDS * ROWS)]
-    out = np.arange(BANDS, dtype=np.uint64) + np.uint64(77)
+def minima(grams: np.ndarray, coords: int) -> np.ndarray:
+    """(paragraphs, coords) MinHash values for (paragraphs, shingles) hashes; repeats of a shingle count as others, as in
+    the similarity."""
+    earlier = np.tril(grams[:, :, None] == grams[:, None, :], -1).sum(2).astype(np.uint64)
+    grams = mixed(grams + earlier * GOLDEN)
+    return np.column_stack([mixed(grams ^ step(1000 + j)).min(1) for j in range(coords)])
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS) bucket hashes of the first MinHash values."""
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(77), (len(least), BANDS)).copy()
     for j in range(ROWS):
-        out = mixed(out * np.uint64(0x94D049BB133111EB) + np.array(least[j::ROWS]))
+        out = mixed(out * np.uint64(0x94D049BB133111EB) + least[:, j : BANDS * ROWS : ROWS])
     return out
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (key, text, places): a row for each paragraph with its node number, bands and words."""
+    """Of each (text, [(at, node)]): the nodes' words."""
     for b in batches:
-        for key, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = WORDS.findall(text.lower())
-            grams = _grams(word_hashes(text))
-            rows = [grams[p : p + WINDOW - K + 1] for p in places]
-            node = [int(mixed(np.cumsum(mixed(g * np.uint64(3)) * step(9))[-1:])[0]) for g in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([bands(g).view(np.int64).tolist() for g in rows], pa.list_(pa.int64())), pa.array([" ".join(words[p : p + WINDOW]) for p in places])],
-                names=["_key", "at", "node", "bands", "text"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([p["node"] for p in places], pa.int64()), pa.array([" ".join(words[p["at"] : p["at"] + WINDOW]) for p in places])], names=["node", "text"])
+
+
+def _rows(texts: list[str]) -> np.ndarray:
+    """(paragraphs, shingles) hashes of paragraphs of WINDOW words."""
+    return _grams(np.concatenate([word_hashes(t) for t in texts]).reshape(-1, WINDOW))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
+            h = bands(minima(_rows(part.column(1).to_pylist()), BANDS * ROWS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(h.ravel())], names=["node", "bucket"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], coords: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), sketches(minima(_rows(part.column(1).to_pylist()), coords))], names=["node", "sketch"])
+
+
+def sketched(paragraphs: DataFrame, coords: int = FINE) -> DataFrame:
+    """(node, sketch) of so many values for paragraphs(node, text)."""
+    return paragraphs.select("node", "text").mapInArrow(partial(_sketched, coords=coords), "node long, sketch binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,22 +134,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     passages' places (in words) and the documents that keep them."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), _number(id_col).alias("_id"))
-    places = materialize(rows.select("_key", "_text").mapInArrow(_anchored, "_key long, at int, anchor long"))
+    places = materialize(rows.select("_key", "_text").mapInArrow(_anchored, "_key long, at int, anchor long, node long"))
     again = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    wanted = places.join(again, "anchor", "left_semi").groupBy("_key").agg(F.collect_set("at").alias("places"))  # a text's own length bounds the set
-    one = rows.groupBy("_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies"))
-    one = materialize(one.join(wanted, "_key"))
-    # of equal texts, the one with the smallest id is read
-    read = rows.join(one.select("_key", "_id", "places"), ["_key", "_id"]).groupBy("_key", "_id").agg(F.first("_text").alias("_text"), F.first("places").alias("places"))
-    found = materialize(read.select("_key", "_text", "places").mapInArrow(_paragraphs, "_key long, at int, node long, bands array<long>, text string"))
-
-    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("text").alias("text"))
-    nodes = materialize(nodes)
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    found = materialize(places.join(again, "anchor", "left_semi").select("_key", "at", "node").distinct())
+    one = materialize(rows.groupBy("_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies")))
+    # each different paragraph is read once, from the smallest place; of equal texts, in that with the smallest id
+    need = found.groupBy("node").agg(F.min(F.struct("_key", "at")).alias("p")).select("p._key", F.struct("p.at", "node").alias("place"))
+    need = need.groupBy("_key").agg(F.collect_list("place").alias("places")).join(one.select("_key", "_id"), "_key")  # a text's own length bounds the list
+    read = rows.join(need, ["_key", "_id"]).groupBy("_key", "_id").agg(F.first("_text").alias("_text"), F.first("places").alias("places"))
+    nodes = materialize(read.select("_text", "places").mapInArrow(_paragraphs, "node long, text string"))
+
+    banded = nodes.mapInArrow(_banded, "node long, bucket long")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"))
-    comp = linked(members, nodes.select("node", "text").join(members.select("node").distinct(), "node"))
-    placed = materialize(found.select("_key", "at", "node").join(comp, "node", "left").select("_key", "at", F.coalesce("comp", "node").alias("comp")).join(one.select("_key", "_id", "copies"), "_key"))
+    members = materialize(banded.join(shared, "bucket", "left_semi").select("bucket", "node"))
+    used = materialize(nodes.join(members.select("node").distinct(), "node"))
+    comp = linked(members.join(sketched(used, COORDS), "node"), used, sketched, K, THRESHOLD, SURE, LIKELY, CUT)
+    placed = materialize(found.join(comp, "node", "left").select("_key", "at", F.coalesce("comp", "node").alias("comp")).join(one, "_key"))
     texts = placed.groupBy("comp", "_key").agg(F.first("copies").alias("copies"), F.first("_id").alias("_id"))
     heads = texts.groupBy("comp").agg(F.sum("copies").alias("n"), F.min("_id").alias("head")).where("n > 1")
     by_text = placed.join(heads, "comp").groupBy("_key").agg(F.collect_list(F.struct("at", "head")).alias("found"))
