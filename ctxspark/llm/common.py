@@ -40,13 +40,15 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, free: bool = True) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends there, and any executor can read it.
-    The driver's garbage goes too, as Spark keeps a finished job's shuffle files on the executors' disks until then."""
+    With free the driver's garbage goes too, as Spark keeps a finished job's shuffle files on the executors' disks until
+    then; worth it between many rounds."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    if free:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

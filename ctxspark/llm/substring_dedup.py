@@ -143,14 +143,14 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     # parsed twice, for the counts and for the rows: cheaper than a table of all phrases
     phrases = rows.mapInArrow(_phrases, "_key long, core long, whole long, lo int, hi int")
     again = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    table = materialize(phrases.join(again, "core"))
+    table = materialize(phrases.join(again, "core"), free=False)
     count = table.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "lo", "hi")).alias("one"))
-    count = materialize(count)
+    count = materialize(count, free=False)
     settled = table.join(count.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("_key", "lo", (F.col("hi") + WIDTH).alias("end")).distinct()
     alone = count.where("n = 1").select("core", "one.*", F.lit(True).alias("open"))
     others = count.where("n > 1").join(alone.select("core"), "core", "left_semi").select("core", "one.*", F.lit(False).alias("open"))
     need = alone.unionByName(others).groupBy("_key").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("spans"))
-    strings = materialize(rows.join(need, "_key").mapInArrow(_strings, "string long, _key long, at int"))
+    strings = materialize(rows.join(need, "_key").mapInArrow(_strings, "string long, _key long, at int"), free=False)
     twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
     found = strings.where("at IS NOT NULL").join(twice, "string", "left_semi").select("_key", F.col("at").alias("lo"), (F.col("at") + WIDTH).alias("end"))
     return settled.unionByName(found).groupBy("_key").agg(F.collect_list(F.struct("lo", "end")).alias("spans"))  # a text's own length bounds the list
