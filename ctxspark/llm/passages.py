@@ -1,16 +1,19 @@
 """Near-duplicate passages by MinHash banding of paragraphs.
 
-Copied passages begin anywhere in a line, so a paragraph is not a line but WINDOW words from an anchor: the place of the
-least shingle hash among REACH places. Any WINDOW + REACH words in a row hold an anchor with its whole paragraph, the
-same one wherever they stand. Paragraphs whose anchor shingle is the only one of its kind have no copy and go first;
-equal paragraphs are one node. BANDS bands of ROWS MinHash values (two values, four bands: a pair of Jaccard similarity
-0.8 meets with probability 0.98, one of 0.9 with 0.999) deal nodes to buckets, near_dup.linked verifies exact Jaccard
-similarity, and components are the classes of removal: of a class that occurs in two or more documents,
-the document with the smallest id keeps its paragraph and the others lose theirs.
-
-Null text counts as empty; texts of fewer than WINDOW + REACH words have no paragraphs. Equal texts are documents that
-repeat each other. A class within one document is no repeat across documents and stays. A null id counts as the
-largest number. Empty tables give empty results; extra columns are ignored."""
+Paragraphs are of two kinds. Each line with a word is one, whatever its length. Copied passages also begin anywhere in a
+line, so WINDOW words from an anchor are one too: the place of the least shingle hash among REACH places. Any
+WINDOW + REACH words in a row hold an anchor with its whole window, the same one wherever they stand; shorter passages
+within lines are met by chance. Windows whose key, the least of their shingles but the outer EDGE on each side, is the
+only one of its kind go first: windows of similarity 0.8 at the same place differ in the outer two words alone, which
+the key doesn't see. Lines are never left out before banding; equal paragraphs are one node. BANDS bands of ROWS MinHash
+values (two values, four bands: a pair of Jaccard similarity 0.8 meets with probability 0.98, one of 0.9 with 0.999)
+deal nodes to buckets, near_dup.linked verifies exact Jaccard similarity, and components are the classes of removal: of
+a class that occurs in two or more documents, the document with the smallest id keeps its paragraph and the others lose
+theirs.
+
+Null text counts as empty; texts of fewer than WINDOW + REACH words have lines only, and a line of fewer than K words is
+one shingle. Equal texts are documents that repeat each other. A class within one document is no repeat across documents
+and stays. A null id counts as the largest number. Empty tables give empty results; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,18 +27,35 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 from .near_dup import _number, linked, sketches
-from .shingles import GOLDEN, WORDS, chunks, first_least, mixed, step, word_hashes
+from .shingles import CHUNK, GOLDEN, MIX_1, WORDS, first_least, mixed, shingles, step, word_hashes
 from .substring_dedup import removed
 
 K, WINDOW, REACH = 5, 25, 25
+#: Shingles on each side of a window that its key doesn't see.
+EDGE = 2
 BANDS, ROWS = 4, 2
 #: MinHash values of sketches, and agreement that makes a link likely (short ones) or below which there is none (long ones,
 #: four deviations).
 COORDS, FINE, SURE, LIKELY, CUT, THRESHOLD = 64, 400, 0.76, 0.79, 0.72, 0.8
 
 
+def lines(texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[list[int]]]]:
+    """Runs of texts as (first text, all word hashes, word counts of each text's lines)."""
+    first, own, counts, total = 0, [], [], 0
+    for i, t in enumerate(texts):
+        hashes = [word_hashes(x) for x in t.split("\n")]
+        own += hashes
+        counts.append([len(x) for x in hashes])
+        total += sum(counts[-1])
+        if total >= CHUNK:
+            yield first, np.concatenate(own), counts
+            first, own, counts, total = i + 1, [], [], 0
+    if own:
+        yield first, np.concatenate(own), counts
+
+
 def anchors(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, first word, hash of the first shingle, hash of all) of each paragraph of texts given as word hashes."""
+    """(text number, first word, key, hash of all) of each window of texts given as word hashes."""
     at = np.cumsum([0, *counts])
     start = np.concatenate([np.arange(a, b - WINDOW - REACH + 1) for a, b in zip(at[:-1], at[1:], strict=True)] or [np.zeros(0)]).astype(np.int64)
     if not len(start):
@@ -45,33 +65,55 @@ def anchors(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     of = np.searchsorted(at, place, "right") - 1
     node = np.zeros(len(place), np.uint64)
     for j in range(0, WINDOW - K + 1, K):
-        node = mixed(node * np.uint64(0xBF58476D1CE4E5B9) + h[place + j])
-    return of, place - at[of], h[place], node
+        node = mixed(node * MIX_1 + h[place + j])
+    key = h[first_least(h, place + EDGE, WINDOW - K + 1 - 2 * EDGE)]
+    return of, place - at[of], key, node
 
 
 def _grams(hashes: np.ndarray) -> np.ndarray:
-    """Shingle hashes along the last axis."""
-    n = hashes.shape[-1] - K + 1
-    h = np.zeros((*hashes.shape[:-1], max(n, 0)), np.uint64)
+    """Hashes of the shingles of K words at each place."""
+    n = max(len(hashes) - K + 1, 0)
+    h = np.zeros(n, np.uint64)
     for j in range(K):
-        h = mixed(h * np.uint64(0xBF58476D1CE4E5B9) + hashes[..., j : j + n] + step(j + 1))
+        h = mixed(h * MIX_1 + hashes[j : j + n] + step(j + 1))
     return h
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with their keys, and lines with their bands."""
     for b in batches:
-        for first, words, counts in chunks(b.column(1).to_pylist()):
+        for first, words, by_line in lines(b.column(1).to_pylist()):
+            counts = np.array([sum(x) for x in by_line])
             of, at, h, node = anchors(words, counts)
             if len(of):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + first)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(node.view(np.int64))], names=["_key", "at", "anchor", "node"])
-
-
-def minima(grams: np.ndarray, coords: int) -> np.ndarray:
-    """(paragraphs, coords) MinHash values for (paragraphs, shingles) hashes; repeats of a shingle count as others, as in
-    the similarity."""
-    earlier = np.tril(grams[:, :, None] == grams[:, None, :], -1).sum(2).astype(np.uint64)
-    grams = mixed(grams + earlier * GOLDEN)
-    return np.column_stack([mixed(grams ^ step(1000 + j)).min(1) for j in range(coords)])
+                yield _places(b, first + of, at, np.full(len(of), WINDOW), node, pa.array(h.view(np.int64)), pa.nulls(len(of), pa.list_(pa.int64())))
+            n = np.concatenate([np.array(x, np.int64) for x in by_line])
+            of, start = np.repeat(np.arange(len(by_line)), [len(x) for x in by_line]), np.cumsum(n) - n
+            of, start, n = of[n > 0], start[n > 0], n[n > 0]
+            if len(n):
+                least, node = minima(words, n, BANDS * ROWS)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands(least).view(np.int64).ravel()))
+                yield _places(b, first + of, start - (np.cumsum(counts) - counts)[of], n, node, pa.nulls(len(n), pa.int64()), lists)
+
+
+def _places(b: pa.RecordBatch, of: np.ndarray, at: np.ndarray, n: np.ndarray, node: np.ndarray, key: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node.view(np.int64)), key, lists], names=["_key", "at", "n", "node", "anchor", "bands"])
+
+
+def minima(hashes: np.ndarray, counts: np.ndarray, coords: int) -> tuple[np.ndarray, np.ndarray]:
+    """((paragraphs, coords) MinHash values, hash of all) for paragraphs of one word or more, given as word hashes one after
+    another; repeats of a shingle count as others, as in the similarity."""
+    of, h = shingles(hashes, counts, K)
+    starts = np.searchsorted(of, np.arange(len(counts)))
+    place = (np.arange(len(h)) - starts[of]).astype(np.uint64)
+    node = mixed(np.add.reduceat(mixed(h ^ mixed(place + GOLDEN)), starts) + counts.astype(np.uint64))
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])
+    run = np.flatnonzero(new)
+    earlier = (np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))).astype(np.uint64)
+    h = mixed(h + earlier * GOLDEN)
+    return np.column_stack([np.minimum.reduceat(mixed(h ^ step(1000 + j)), starts) for j in range(coords)]), node
 
 
 def bands(least: np.ndarray) -> np.ndarray:
@@ -87,19 +129,20 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = WORDS.findall(text.lower())
-            yield pa.RecordBatch.from_arrays([pa.array([p["node"] for p in places], pa.int64()), pa.array([" ".join(words[p["at"] : p["at"] + WINDOW]) for p in places])], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([p["node"] for p in places], pa.int64()), pa.array([" ".join(words[p["at"] : p["at"] + p["n"]]) for p in places])], names=["node", "text"])
 
 
-def _rows(texts: list[str]) -> np.ndarray:
-    """(paragraphs, shingles) hashes of paragraphs of WINDOW words."""
-    return _grams(np.concatenate([word_hashes(t) for t in texts]).reshape(-1, WINDOW))
+def _least(texts: list[str], coords: int) -> np.ndarray:
+    """(paragraphs, coords) MinHash values of paragraphs' words."""
+    own = [word_hashes(t) for t in texts]
+    return minima(np.concatenate(own), np.array([len(x) for x in own]), coords)[0]
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            h = bands(minima(_rows(part.column(1).to_pylist()), BANDS * ROWS)).view(np.int64)
+            h = bands(_least(part.column(1).to_pylist(), BANDS * ROWS)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(h.ravel())], names=["node", "bucket"])
 
 
@@ -107,7 +150,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], coords: int) -> Iterator[pa.Rec
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            yield pa.RecordBatch.from_arrays([part.column(0), sketches(minima(_rows(part.column(1).to_pylist()), coords))], names=["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), sketches(_least(part.column(1).to_pylist(), coords))], names=["node", "sketch"])
 
 
 def sketched(paragraphs: DataFrame, coords: int = FINE) -> DataFrame:
@@ -123,7 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = []
             for some in (found, [x for x in found if x["gone"]]):
                 at = np.array([x["at"] for x in some], np.int64)
-                runs.append(removed(at, at + WINDOW) if some else [])
+                runs.append(removed(at, at + np.array([x["n"] for x in some], np.int64)) if some else [])
             out.append((sum(e - s for s, e in runs[0]), sum(e - s for s, e in runs[1]), [{"lo": s, "end": e} for s, e in runs[0]], sorted({x["head"] for x in found})))
         many, gone, spans, heads = map(list, zip(*out, strict=True)) if out else ([],) * 4
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(many, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("end", pa.int64())]))), pa.array(heads, pa.list_(pa.int64()))], names=[b.schema.names[0], "n_repeated_words", "n_removed_words", "spans", "first_docs"])
@@ -134,27 +177,36 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     passages' places (in words) and the documents that keep them."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), _number(id_col).alias("_id"))
-    places = materialize(rows.select("_key", "_text").mapInArrow(_anchored, "_key long, at int, anchor long, node long"))
-    again = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = materialize(places.join(again, "anchor", "left_semi").select("_key", "at", "node").distinct())
+    places = materialize(rows.select("_key", "_text").mapInArrow(_anchored, "_key long, at int, n int, node long, anchor long, bands array<long>"))
+    windows, own_lines = places.where("anchor IS NOT NULL").drop("bands"), places.where("anchor IS NULL").drop("anchor")
+    again = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
+    found = materialize(windows.join(again, "anchor", "left_semi").select("_key", "at", "n", "node").distinct())
+    line_places = own_lines.select("_key", "at", "n", "node").distinct()
     one = materialize(rows.groupBy("_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies")))
-    # each different paragraph is read once, from the smallest place; of equal texts, in that with the smallest id
-    need = found.groupBy("node").agg(F.min(F.struct("_key", "at")).alias("p")).select("p._key", F.struct("p.at", "node").alias("place"))
-    need = need.groupBy("_key").agg(F.collect_list("place").alias("places")).join(one.select("_key", "_id"), "_key")  # a text's own length bounds the list
-    read = rows.join(need, ["_key", "_id"]).groupBy("_key", "_id").agg(F.first("_text").alias("_text"), F.first("places").alias("places"))
-    nodes = materialize(read.select("_text", "places").mapInArrow(_paragraphs, "node long, text string"))
-
-    banded = nodes.mapInArrow(_banded, "node long, bucket long")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+
+    def words(some: DataFrame) -> DataFrame:
+        """(node, text): each different paragraph is read once, from the smallest place; of equal texts, in that with the
+        smallest id."""
+        need = some.groupBy("node").agg(F.min(F.struct("_key", "at", "n")).alias("p")).select("p._key", F.struct("p.at", "p.n", "node").alias("place"))
+        need = need.groupBy("_key").agg(F.collect_list("place").alias("places")).join(one.select("_key", "_id"), "_key")  # a text's own length bounds the list
+        read = rows.join(need, ["_key", "_id"]).groupBy("_key", "_id").agg(F.first("_text").alias("_text"), F.first("places").alias("places"))
+        return materialize(read.select("_text", "places").mapInArrow(_paragraphs, "node long, text string"))
+
+    nodes = words(found)
+    each_line = own_lines.groupBy("node").agg(F.first("bands").alias("bands"))  # equal lines have equal bands
+    banded = materialize(nodes.mapInArrow(_banded, "node long, bucket long").unionByName(each_line.select("node", F.explode("bands").alias("bucket"))))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = materialize(banded.join(shared, "bucket", "left_semi").select("bucket", "node"))
-    used = materialize(nodes.join(members.select("node").distinct(), "node"))
+    wanted = members.select("node").distinct()
+    near_lines = words(line_places.join(wanted, "node", "left_semi"))
+    used = materialize(nodes.join(wanted, "node", "left_semi").unionByName(near_lines))
     comp = linked(members.join(sketched(used, COORDS), "node"), used, sketched, K, THRESHOLD, SURE, LIKELY, CUT)
-    placed = materialize(found.join(comp, "node", "left").select("_key", "at", F.coalesce("comp", "node").alias("comp")).join(one, "_key"))
+    placed = materialize(found.unionByName(line_places).join(comp, "node", "left").select("_key", "at", "n", F.coalesce("comp", "node").alias("comp")).join(one, "_key"))
     texts = placed.groupBy("comp", "_key").agg(F.first("copies").alias("copies"), F.first("_id").alias("_id"))
-    heads = texts.groupBy("comp").agg(F.sum("copies").alias("n"), F.min("_id").alias("head")).where("n > 1")
-    by_text = placed.join(heads, "comp").groupBy("_key").agg(F.collect_list(F.struct("at", "head")).alias("found"))
+    heads = texts.groupBy("comp").agg(F.sum("copies").alias("m"), F.min("_id").alias("head")).where("m > 1")
+    by_text = placed.join(heads.select("comp", "head"), "comp").groupBy("_key").agg(F.collect_list(F.struct("at", "n", "head")).alias("found"))
     own = docs.select(F.col(id_col), _number(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
-    marked = own.join(by_text, "_key").select(id_col, F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["head"].alias("head"), (x["head"] != F.col("_id")).alias("gone"))).alias("found"))
+    marked = own.join(by_text, "_key").select(id_col, F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["head"].alias("head"), (x["head"] != F.col("_id")).alias("gone"))).alias("found"))
     return marked.mapInArrow(_runs, f"`{id_col}` {kind}, n_repeated_words long, n_removed_words long, spans array<struct<lo long, end long>>, first_docs array<long>")
 
 
