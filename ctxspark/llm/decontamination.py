@@ -52,18 +52,20 @@ class Seeds:
             sieve[all_h >> np.uint64(64 - BITS)] = True
             self.tables[key] = (all_h[order], item[order], at[order], sieve)
 
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item number, first word of the item in words), which may be out of range."""
+    def hits(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Distinct (text, item number, first word of the item in words) of hits within one text, texts ending at ends; the
+        item may begin and end outside its text."""
         found = []
         for key, (table, item, at, sieve) in self.tables.items():
             h = seeds(words, key)
             pos = np.flatnonzero(sieve[h >> np.uint64(64 - BITS)])
+            pos = pos[pos + len(key) <= ends[np.searchsorted(ends, pos, "right")]]
             lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
             n = hi - lo
             pos, lo = np.repeat(pos, n), np.repeat(lo, n)
             entry = lo + np.arange(len(lo)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([item[entry], pos - at[entry]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
+            found.append(np.stack([np.searchsorted(ends, pos, "right"), item[entry], pos - at[entry]], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), int)
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -102,14 +104,12 @@ def judge(texts: list[str | None], found: Seeds) -> list[list[tuple[int, int, fl
     out: list[dict[int, tuple[int, float]]] = [{} for _ in texts]
     for first, words, counts in chunks(texts):
         ends = np.cumsum(counts)
-        for n, start in found.hits(words):
+        for doc, n, start in found.hits(words, ends):
             item_id, item = found.items[n]
-            middle = min(max(start + len(item) // 2, 0), len(words) - 1)
-            for doc in {int(np.searchsorted(ends, x, "right")) for x in (max(start, 0), middle, min(start + len(item), len(words)) - 1)}:
-                lo, hi = ends[doc] - counts[doc], ends[doc]
-                length, share = overlap(item, words[lo:hi], int(start - lo))
-                if length and (length, share) > out[first + doc].get(item_id, (0, 0.0)):
-                    out[first + doc][item_id] = (length, share)
+            lo, hi = ends[doc] - counts[doc], ends[doc]
+            length, share = overlap(item, words[lo:hi], int(start - lo))
+            if length and (length, share) > out[first + doc].get(item_id, (0, 0.0)):
+                out[first + doc][item_id] = (length, share)
     return [[(i, *x) for i, x in sorted(d.items())] for d in out]
 
 

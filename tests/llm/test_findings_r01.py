@@ -6,8 +6,8 @@ import random
 
 import numpy as np
 
-from ctxspark.llm import passages
-from ctxspark.llm.shingles import similarity
+from ctxspark.llm import decontamination, passages
+from ctxspark.llm.shingles import similarity, word_hashes
 
 
 def prose(r: random.Random, n: int) -> list[str]:
@@ -49,3 +49,17 @@ def test_lines_are_paragraphs(spark):
     assert all(m for m, (a, b) in zip(met, want, strict=True) if a[1] == b[1])
     clean = {i for i, _ in lines} - {x[0] for p in pairs if p[0][0] != p[1][0] for x in p}
     assert clean and not clean & set(got)
+
+
+def test_short_documents_between_an_items_probes():
+    """A document that holds part of an item is judged on its own, whatever stands beside it in the batch."""
+    r = random.Random(1)
+    item = prose(r, 59)
+    found = decontamination.Seeds([(7, word_hashes(" ".join(item)))])
+    for lo in range(0, 40):
+        part = " ".join(item[lo : lo + 20])
+        texts = [" ".join(prose(r, 30)), part, " ".join(prose(r, 30)), None, part]
+        assert decontamination.judge(texts, found) == [[], [(7, 20, 1.0)], [], [], [(7, 20, 1.0)]]
+        assert decontamination.judge([part], found) == [[(7, 20, 1.0)]]
+    # words of an item that go on in the next document are no copy
+    assert decontamination.judge([" ".join(item[:7]), " ".join(item[7:14])], found) == [[], []]
