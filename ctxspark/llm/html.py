@@ -33,6 +33,9 @@ BAD_TAGS = frozenset("nav footer aside form button menu dialog search fieldset".
 BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|side-?bar|aside|widget\w*|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|sign-?up|login|comments?|comment-\w+|commentlist|disqus\w*|respon[ds]e?s?|repl(?:y|ies)|discussion|feedback|share|sharing|social\w*|related|recommend\w*|trending|popular|pagination|pager|toolbar|masthead|site-?header|page-?header|topbar|copyright|legal|disclaimer|skip\w*|hidden|tags|teaser)(?:$|[\s_-])", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body-?text|prose|text)(?:$|[\s_-])", re.I)
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Names that say what a page has or lacks, not what the element is.
+MODIFIERS = re.compile(r"(?<!\S)(?:has|no|with|without)-\S+|(?<!\S)\S+-(?:open|closed|enabled|disabled)(?!\S)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 QUOTED = re.compile(r"(?<!=)\"[^\"]*\"")
 
@@ -46,9 +49,11 @@ class Block:
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order. Of open elements only block containers are remembered, so tags that are never
-    closed do no harm; a closing tag ends the nearest container of its name."""
+    closed do no harm; a closing tag ends the nearest container of its name, and an open p ends at any block's start. The
+    names of html and body speak of the whole page and aren't read. The outermost article or main undoes what the names of
+    containers around it say, but not nav, aside and the like, nor what is hidden."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    stack: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]  # name, good, bad, label, bad by more than a name, in article or main
     parts: list[str] = []
     linked, in_link, heading, item, head = 0, False, False, False, False
 
@@ -57,7 +62,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text and not head:
-                _, good, bad, label = stack[-1]
+                _, good, bad, label, _, _ = stack[-1]
                 out.append(Block(text, linked, good, bad, heading, item, label))
             parts.clear()
         linked = 0
@@ -92,25 +97,30 @@ def blocks(page: str | None) -> list[Block]:
                 head = name == "head" and not closing
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
             item = not closing and name in ("li", "td", "th", "dt", "option")
-            if name == "p" or heading or name in VOID:
-                if not (m[4] and not closing):
-                    continue
             if closing:
+                if name == "p":
+                    if stack[-1][0] == "p":
+                        stack.pop()
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         del stack[k:]
                         break
                 continue
             attrs = m[4]
-            if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                while stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # an earlier one of these ends here
-                    stack.pop()
-            _, good, bad, label = stack[-1]
-            names = " ".join(" ".join(x) for x in NAMES.findall(attrs)) if attrs else ""
+            while stack[-1][0] == "p" or (name == "p" or heading) and stack[-1][0] in HEADINGS:  # ends here
+                stack.pop()
+            if name in VOID or (name == "p" or heading) and not attrs:
+                continue
+            _, good, bad, label, sure, inside = stack[-1]
+            names = " ".join(" ".join(x) for x in NAMES.findall(attrs)) if attrs and name not in ("html", "body") else ""
             plain = name == "header" and not good
-            bad = bad or name in BAD_TAGS or plain or bool(names and BAD_NAMES.search(names)) or bool(attrs and HIDDEN.search(QUOTED.sub("", attrs) if "style" not in attrs else attrs))
+            if name in ("article", "main"):
+                bad, inside = bad and (sure or inside), True
+            sure = sure or name in BAD_TAGS or plain or bool(attrs and HIDDEN.search(QUOTED.sub("", attrs) if "style" not in attrs else attrs))
+            bad = bad or sure or bool(names and BAD_NAMES.search(MODIFIERS.sub(" ", names)))
             good = good or name in ("article", "main") or bool(names and GOOD_NAMES.search(names))
-            stack.append((name, good, bad, label if "data-y" not in attrs else int('data-y="1"' in attrs)))
+            stack.append((name, good, bad, label if "data-y" not in attrs else int('data-y="1"' in attrs), sure, inside))
     rest = page[at:]
     text(OPEN_END.sub("", rest))
     flush()

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from ctxspark.llm import decontamination, passages
+from ctxspark.llm import decontamination, html, passages
 from ctxspark.llm.shingles import similarity, word_hashes
 
 
@@ -63,3 +63,22 @@ def test_short_documents_between_an_items_probes():
         assert decontamination.judge([part], found) == [[(7, 20, 1.0)]]
     # words of an item that go on in the next document are no copy
     assert decontamination.judge([" ".join(item[:7]), " ".join(item[7:14])], found) == [[], []]
+
+
+def test_names_around_the_main_text():
+    """Names of outer and earlier elements don't mark the article bad; what they name themselves stays bad."""
+    long = " ".join(["some words of a long paragraph"] * 8)
+    article = f"<article><h1>A title of words</h1><p>{long} one</p><p>{long} two</p></article>"
+    side = f'<div class="sidebar"><p>{long} no</p></div>'
+    for page in (
+        f'<html class="no-footer"><body class="has-sidebar">{side}{article}</body></html>',
+        f'<body class="single comments-open">{side}{article}</body>',
+        f'<body><div class="page no-footer">{article}</div>{side}</body>',
+        f'<body><div class="sidebar-layout sidebar">{article}</div>{side}</body>',
+        f'<body><article><h1>A title of words</h1><p class="share">{long} no</p><p>{long} one</p><p>{long} two</p></article></body>',
+        f'<body><article><h1>A title of words</h1><p class="share">{long} no<p>{long} one<p>{long} two</article></body>',
+        f'<body><article><h1>A title of words</h1><p class="share">{long} no<div>{long} one</div><hr class="footer"><p>{long} two</p></article></body>',
+    ):
+        assert html.main_texts([page], html.tree()) == [f"A title of words\n{long} one\n{long} two"], page
+    for page in (f'<main><p>{long} yes</p><div class="related"><article><p>{long} no</p></article></div></main>', f"<main><p>{long} yes</p></main><aside><article><p>{long} no</p></article></aside>", f'<main><p>{long} yes</p></main><div hidden><article><p>{long} no</p></article></div>'):
+        assert html.main_texts([page], html.tree()) == [f"{long} yes"], page
