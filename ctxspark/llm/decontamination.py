@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask selects 6 of 10 consecutive words; the hash of the selected words doesn't see the others, so a hit survives
+A mask selects 6 of 7 to 10 consecutive words; the hash of the selected words doesn't see the others, so a hit survives
 substituted words. Training positions whose hash meets a benchmark hash are aligned with the item, without gaps, and
 words around the hit are compared: a document is contaminated by an item if some stretch of the alignment of at least
 LEAST words (the whole item if shorter) has SHARE equal words or more.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import load
 from .shingles import chunks, mixed, word_hashes
 
-#: Of each mask: which of ten consecutive words it selects. Chosen so that one or two substitutions in ten leave a hit.
-MASKS = ("1110010111", "1101110011", "1011011101", "1111001101")
+#: Of each mask: which consecutive words it selects. Chosen by enumeration so that any stretch of SPAN to 25 words with SHARE
+#: equal words is hit, wherever the others stand; a longer one holds such a stretch of LEAST words or more in one of its halves.
+MASKS = ("1111011", "110010111", "1110100011", "1011111", "1110111", "111100101")
 SPAN, LEAST, SHARE, SHORTEST = 10, 13, 0.8, 5
 #: Words of the benchmark that a task holds at once.
 BLOCK = 500_000

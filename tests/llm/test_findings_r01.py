@@ -82,3 +82,17 @@ def test_names_around_the_main_text():
         assert html.main_texts([page], html.tree()) == [f"A title of words\n{long} one\n{long} two"], page
     for page in (f'<main><p>{long} yes</p><div class="related"><article><p>{long} no</p></article></div></main>', f"<main><p>{long} yes</p></main><aside><article><p>{long} no</p></article></aside>", f'<main><p>{long} yes</p></main><div hidden><article><p>{long} no</p></article></div>'):
         assert html.main_texts([page], html.tree()) == [f"{long} yes"], page
+
+
+def test_masks_hit_all_that_the_verifier_accepts():
+    """Every way to change a fifth of 10 to 25 words leaves a hit of some mask; of longer stretches,
+    one half of 13 words or more has its share."""
+    masks = [(len(m), sum(1 << i for i, c in enumerate(m) if c == "1")) for m in decontamination.MASKS]
+    for n in range(decontamination.SPAN, 26):
+        gone = [c for c in itertools.combinations(range(n), n // 5)]
+        clean = np.array([((1 << n) - 1) ^ sum(1 << i for i in c) for c in gone])
+        hit = np.zeros(len(clean), bool)
+        for span, m in masks:
+            for at in range(n - span + 1):
+                hit |= (clean >> at) & m == m
+        assert hit.all(), n
