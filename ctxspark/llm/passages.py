@@ -1,19 +1,21 @@
 """Near-duplicate passages by MinHash banding of paragraphs.
 
-Paragraphs are of two kinds. Each line with a word is one, whatever its length. Copied passages also begin anywhere in a
-line, so WINDOW words from an anchor are one too: the place of the least shingle hash among REACH places. Any
-WINDOW + REACH words in a row hold an anchor with its whole window, the same one wherever they stand; shorter passages
-within lines are met by chance. Windows whose key, the least of their shingles but the outer EDGE on each side, is the
-only one of its kind go first: windows of similarity 0.8 at the same place differ in the outer two words alone, which
-the key doesn't see. Lines are never left out before banding; equal paragraphs are one node. BANDS bands of ROWS MinHash
-values (two values, four bands: a pair of Jaccard similarity 0.8 meets with probability 0.98, one of 0.9 with 0.999)
-deal nodes to buckets, near_dup.linked verifies exact Jaccard similarity, and components are the classes of removal: of
-a class that occurs in two or more documents, the document with the smallest id keeps its paragraph and the others lose
-theirs.
-
-Null text counts as empty; texts of fewer than WINDOW + REACH words have lines only, and a line of fewer than K words is
-one shingle. Equal texts are documents that repeat each other. A class within one document is no repeat across documents
-and stays. A null id counts as the largest number. Empty tables give empty results; extra columns are ignored."""
+Paragraphs are of two kinds. Each line with a word is one, whatever its length, and so is a whole text of several lines
+that is too short for the second kind. Copied passages also begin anywhere in a line and run over line ends, so WINDOW words from an anchor are one
+too: the place of the least shingle hash among REACH places. Any WINDOW + REACH - 1 words in a row hold an anchor with
+its whole window, the same one wherever they stand; shorter passages within lines are met by chance. A window is a node
+by its words, so windows link where they are equal: one with a changed word beyond its outer two falls short of the
+threshold anyway, and its unchanged part holds shorter windows.
+
+Lines are banded: BANDS bands of ROWS MinHash values (two values, four bands: a pair of Jaccard similarity 0.8 meets with
+probability 0.98, one of 0.9 with 0.999) deal different lines to buckets, near_dup.linked verifies exact Jaccard
+similarity, and components are the classes. Nothing is left out before the bands. Of a class that occurs in two or more
+documents, the document with the smallest id keeps its paragraph and the others lose theirs.
+
+Up to the verification only hashes and places move: texts are shuffled once, for lines that share a bucket with another
+line. Null text counts as empty; a line of fewer than K words is one shingle. Rows with one id are one document; a class
+within one document is no repeat across documents and stays. A null id counts as the largest number. Empty tables give
+empty results; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -27,12 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 from .near_dup import _number, linked, sketches
-from .shingles import CHUNK, GOLDEN, MIX_1, WORDS, first_least, mixed, shingles, step, word_hashes
+from .shingles import CHUNK, GOLDEN, MIX_1, MIX_2, WORDS, first_least, mixed, shingles, step, word_hashes
 from .substring_dedup import removed
 
-K, WINDOW, REACH = 5, 25, 25
-#: Shingles on each side of a window that its key doesn't see.
-EDGE = 2
+K, WINDOW, REACH = 5, 20, 31
 BANDS, ROWS = 4, 2
 #: MinHash values of sketches, and agreement that makes a link likely (short ones) or below which there is none (long ones,
 #: four deviations).
@@ -55,19 +55,18 @@ def lines(texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[list[int]]]]
 
 
 def anchors(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, first word, key, hash of all) of each window of texts given as word hashes."""
+    """(text number, first word, hash of all) of each window of texts given as word hashes."""
     at = np.cumsum([0, *counts])
-    start = np.concatenate([np.arange(a, b - WINDOW - REACH + 1) for a, b in zip(at[:-1], at[1:], strict=True)] or [np.zeros(0)]).astype(np.int64)
+    start = np.concatenate([np.arange(a, b - WINDOW - REACH + 2) for a, b in zip(at[:-1], at[1:], strict=True)] or [np.zeros(0)]).astype(np.int64)
     if not len(start):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     h = _grams(hashes)
     place = np.unique(first_least(h, start, REACH))
     of = np.searchsorted(at, place, "right") - 1
     node = np.zeros(len(place), np.uint64)
     for j in range(0, WINDOW - K + 1, K):
         node = mixed(node * MIX_1 + h[place + j])
-    key = h[first_least(h, place + EDGE, WINDOW - K + 1 - 2 * EDGE)]
-    return of, place - at[of], key, node
+    return of, place - at[of], node
 
 
 def _grams(hashes: np.ndarray) -> np.ndarray:
@@ -79,25 +78,39 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with their keys, and lines with their bands."""
+def whole(by_line: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, words) of each line with a word, and of short texts of several lines."""
+    of, start, n = [], [], []
+    for i, counts in enumerate(by_line):
+        total, at = sum(counts), 0
+        if max(counts) < total < WINDOW + REACH - 1:
+            of.append(i), start.append(0), n.append(total)
+        for c in counts:
+            if c:
+                of.append(i), start.append(at), n.append(c)
+            at += c
+    return np.array(of, np.int64), np.array(start, np.int64), np.array(n, np.int64)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of paragraphs: windows, and lines with their bands."""
     for b in batches:
         for first, words, by_line in lines(b.column(1).to_pylist()):
             counts = np.array([sum(x) for x in by_line])
-            of, at, h, node = anchors(words, counts)
+            of, at, node = anchors(words, counts)
             if len(of):
-                yield _places(b, first + of, at, np.full(len(of), WINDOW), node, pa.array(h.view(np.int64)), pa.nulls(len(of), pa.list_(pa.int64())))
-            n = np.concatenate([np.array(x, np.int64) for x in by_line])
-            of, start = np.repeat(np.arange(len(by_line)), [len(x) for x in by_line]), np.cumsum(n) - n
-            of, start, n = of[n > 0], start[n > 0], n[n > 0]
+                yield _places(b, first + of, at, np.full(len(of), WINDOW), node, pa.nulls(len(of), pa.list_(pa.int64())))
+            of, at, n = whole(by_line)
             if len(n):
-                least, node = minima(words, n, BANDS * ROWS)
+                start = at + (np.cumsum(counts) - counts)[of]
+                own = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                least, node = minima(words[own], n, BANDS * ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands(least).view(np.int64).ravel()))
-                yield _places(b, first + of, start - (np.cumsum(counts) - counts)[of], n, node, pa.nulls(len(n), pa.int64()), lists)
+                yield _places(b, first + of, at, n, node, lists)
 
 
-def _places(b: pa.RecordBatch, of: np.ndarray, at: np.ndarray, n: np.ndarray, node: np.ndarray, key: pa.Array, lists: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node.view(np.int64)), key, lists], names=["_key", "at", "n", "node", "anchor", "bands"])
+def _places(b: pa.RecordBatch, of: np.ndarray, at: np.ndarray, n: np.ndarray, node: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node.view(np.int64)), lists], names=["_id", "at", "n", "node", "bands"])
 
 
 def minima(hashes: np.ndarray, counts: np.ndarray, coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +133,7 @@ def bands(least: np.ndarray) -> np.ndarray:
     """(paragraphs, BANDS) bucket hashes of the first MinHash values."""
     out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(77), (len(least), BANDS)).copy()
     for j in range(ROWS):
-        out = mixed(out * np.uint64(0x94D049BB133111EB) + least[:, j : BANDS * ROWS : ROWS])
+        out = mixed(out * MIX_2 + least[:, j : BANDS * ROWS : ROWS])
     return out
 
 
@@ -138,14 +151,6 @@ def _least(texts: list[str], coords: int) -> np.ndarray:
     return minima(np.concatenate(own), np.array([len(x) for x in own]), coords)[0]
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            h = bands(_least(part.column(1).to_pylist(), BANDS * ROWS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(h.ravel())], names=["node", "bucket"])
-
-
 def _sketched(batches: Iterator[pa.RecordBatch], coords: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 1000):
@@ -174,41 +179,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document with a passage that another one has too: id_col, words in such passages, words removed, the
-    passages' places (in words) and the documents that keep them."""
+    passages' places (in words) and the documents that keep them. Of rows with one id, a row each."""
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), _number(id_col).alias("_id"))
-    places = materialize(rows.select("_key", "_text").mapInArrow(_anchored, "_key long, at int, n int, node long, anchor long, bands array<long>"))
-    windows, own_lines = places.where("anchor IS NOT NULL").drop("bands"), places.where("anchor IS NULL").drop("anchor")
-    again = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
-    found = materialize(windows.join(again, "anchor", "left_semi").select("_key", "at", "n", "node").distinct())
-    line_places = own_lines.select("_key", "at", "n", "node").distinct()
-    one = materialize(rows.groupBy("_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies")))
-
-    def words(some: DataFrame) -> DataFrame:
-        """(node, text): each different paragraph is read once, from the smallest place; of equal texts, in that with the
-        smallest id."""
-        need = some.groupBy("node").agg(F.min(F.struct("_key", "at", "n")).alias("p")).select("p._key", F.struct("p.at", "p.n", "node").alias("place"))
-        need = need.groupBy("_key").agg(F.collect_list("place").alias("places")).join(one.select("_key", "_id"), "_key")  # a text's own length bounds the list
-        read = rows.join(need, ["_key", "_id"]).groupBy("_key", "_id").agg(F.first("_text").alias("_text"), F.first("places").alias("places"))
-        return materialize(read.select("_text", "places").mapInArrow(_paragraphs, "node long, text string"))
-
-    nodes = words(found)
-    each_line = own_lines.groupBy("node").agg(F.first("bands").alias("bands"))  # equal lines have equal bands
-    banded = materialize(nodes.mapInArrow(_banded, "node long, bucket long").unionByName(each_line.select("node", F.explode("bands").alias("bucket"))))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket", "left_semi").select("bucket", "node"))
-    wanted = members.select("node").distinct()
-    near_lines = words(line_places.join(wanted, "node", "left_semi"))
-    used = materialize(nodes.join(wanted, "node", "left_semi").unionByName(near_lines))
-    comp = linked(members.join(sketched(used, COORDS), "node"), used, sketched, K, THRESHOLD, SURE, LIKELY, CUT)
-    placed = materialize(found.unionByName(line_places).join(comp, "node", "left").select("_key", "at", "n", F.coalesce("comp", "node").alias("comp")).join(one, "_key"))
-    texts = placed.groupBy("comp", "_key").agg(F.first("copies").alias("copies"), F.first("_id").alias("_id"))
-    heads = texts.groupBy("comp").agg(F.sum("copies").alias("m"), F.min("_id").alias("head")).where("m > 1")
-    by_text = placed.join(heads.select("comp", "head"), "comp").groupBy("_key").agg(F.collect_list(F.struct("at", "n", "head")).alias("found"))
-    own = docs.select(F.col(id_col), _number(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
-    marked = own.join(by_text, "_key").select(id_col, F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["head"].alias("head"), (x["head"] != F.col("_id")).alias("gone"))).alias("found"))
+    rows = docs.select(_number(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    places = materialize(rows.mapInArrow(_scanned, "_id long, at int, n int, node long, bands array<long>"))
+    windows, own_lines = places.where("bands IS NULL").drop("bands"), places.where("bands IS NOT NULL")
+    comp = materialize(_classes(rows, own_lines))
+    joined = own_lines.drop("bands").join(comp, "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
+    placed = windows.unionByName(joined)
+    several = placed.groupBy("node").agg(F.min("_id").alias("head"), F.max("_id").alias("last")).where("head < last").drop("last")
+    by_id = placed.join(several, "node").select("_id", "at", "n", "head").distinct().groupBy("_id").agg(F.collect_list(F.struct("at", "n", "head")).alias("found"))  # a text's own length bounds the list
+    own = docs.select(F.col(id_col), _number(id_col).alias("_id"))
+    marked = own.join(by_id, "_id").select(id_col, F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["head"].alias("head"), (x["head"] != F.col("_id")).alias("gone"))).alias("found"))
     return marked.mapInArrow(_runs, f"`{id_col}` {kind}, n_repeated_words long, n_removed_words long, spans array<struct<lo long, end long>>, first_docs array<long>")
 
 
+def _classes(rows: DataFrame, own_lines: DataFrame) -> DataFrame:
+    """(node, comp) of lines that are near another line."""
+    banded = own_lines.select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "node").distinct())
+    wanted = own_lines.select("_id", "at", "n", "node").join(members.select("node").distinct(), "node")
+    need = wanted.groupBy("node").agg(F.min(F.struct("_id", "at", "n")).alias("p")).select("p._id", F.struct("p.at", "p.n", "node").alias("place"))
+    need = need.groupBy("_id").agg(F.collect_list("place").alias("places"))  # a text's own length bounds the list
+    texts = materialize(rows.join(need, "_id").select("_text", "places").mapInArrow(_paragraphs, "node long, text string").dropDuplicates(["node"]))
+    return linked(members.join(sketched(texts, COORDS), "node"), texts, sketched, K, THRESHOLD, SURE, LIKELY, CUT)
+
+
 def op6_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
     return repeats(load(spark, sf_dir, "documents", "doc_id", "text"))
