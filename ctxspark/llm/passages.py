@@ -188,6 +188,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     joined = own_lines.drop("bands").join(comp, "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
     placed = windows.unionByName(joined)
     several = placed.groupBy("node").agg(F.min("_id").alias("head"), F.max("_id").alias("last")).where("head < last").drop("last")
+    several = materialize(several)  # a table of its own: the join on a hot paragraph can be split
     by_id = placed.join(several, "node").select("_id", "at", "n", "head").distinct().groupBy("_id").agg(F.collect_list(F.struct("at", "n", "head")).alias("found"))  # a text's own length bounds the list
     own = docs.select(F.col(id_col), _number(id_col).alias("_id"))
     marked = own.join(by_id, "_id").select(id_col, F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["head"].alias("head"), (x["head"] != F.col("_id")).alias("gone"))).alias("found"))
