@@ -143,6 +143,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     # parsed twice, for the counts and for the rows: cheaper than a table of all phrases
     phrases = rows.mapInArrow(_phrases, "_key long, core long, whole long, lo int, hi int")
     again = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    again = materialize(again, free=False)  # a table of its own: the join on a hot core can be split
     table = materialize(phrases.join(again, "core"), free=False)
     count = table.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "lo", "hi")).alias("one"))
     count = materialize(count, free=False)
