@@ -5,7 +5,7 @@ patterns (3^7 at most, whatever the input) estimates how often each rule says ba
 document's posterior probability of being good decides. The fit has a prior, see PRIOR.
 
 Null text counts as empty: no words, base_failed, never kept. Empty tables give empty results. Repeated rows are judged
-alike, each on its own row. Extra columns of the input are left alone: derived columns live in one struct."""
+alike, each on its own row. Extra columns of the input are left alone, whatever their names: they stay in one struct."""
 
 from __future__ import annotations
 
@@ -26,12 +26,13 @@ RULES = (
     ("short_words", "n_words / word_chars", 0.4, 0.3),
 )
 ROUNDS = 30
-#: Start: share of bad documents; how often a rule that votes says bad of bad and of good documents.
-START = (0.1, 0.3, 0.002)
-#: Defects exclude one another, so votes are not independent given the class, and a free fit would take the defect with
-#: the most correlated rules for the bad class. The prior: rules rarely call good documents bad. It weighs PRIOR times
-#: as much as the good documents themselves, at every size of the input.
-PRIOR = 9
+#: Share of bad documents; how often a rule says bad of good documents, of those with its own defect, of those with others.
+START = (0.1, 0.001, 0.95, 0.05)
+#: Defects mostly exclude one another, so one class of bad documents would have votes that depend on one another, and a free
+#: fit would take the most correlated rules for the class and turn the others round. So each rule has a class of its own, of
+#: documents with its defect. The prior says that rules rarely call good documents bad and mostly call those of their own
+#: class bad; it weighs PRIOR times as much as the documents themselves, and SHARES of them for the classes' shares.
+PRIOR, SHARES = 9, 0.1
 
 
 def features(text: Column) -> Column:
@@ -93,50 +94,56 @@ def votes(f: str) -> Column:
 
 def posteriors(patterns: DataFrame) -> DataFrame:
     """(v, p_good) for each vote pattern of patterns(v, n): expectation-maximisation as one expression over one row, whose
-    array has 3^7 entries at most."""
+    array has 3^7 entries at most. Class 0 is of good documents, class r of those with rule r's defect. No rule may say
+    bad less often in another class than in class 0, so that a bad vote never speaks for a document."""
     k = len(RULES)
-    share, says_bad, says_good = START
-    like = "aggregate(zip_with(p.v, {q}, (v, q) -> CASE v WHEN -1 THEN ln(q) WHEN 1 THEN ln(1 - q) ELSE 0D END), 0D, (a, x) -> a + x)"
-    good = f"1 / (1 + exp(ln(s.share) + {like.format(q='s.bad')} - ln(1 - s.share) - {like.format(q='s.good')}))"
-    weight = {"bad": "p.n * (1 - p.g)", "good": "p.n * p.g"}
-
-    def rate(kind: str) -> str:
-        hit = f"aggregate(e, 0D, (a, p) -> a + if(p.v[r] = -1, {weight[kind]}, 0D))"
-        seen = f"aggregate(e, 0D, (a, p) -> a + if(p.v[r] <> 0, {weight[kind]}, 0D))"
-        prior = f"0.3D) / ({seen} + 1D)" if kind == "bad" else f"{says_good * PRIOR}D * {seen} + {says_good}D) / ({1 + PRIOR}D * {seen} + 1D)"
-        return f"transform(sequence(0, {k - 1}), r -> ({hit} + {prior})"
-
+    bad, of_good, of_own, of_others = START
+    prior = [[of_good] * k] + [[of_own if r == c else of_others for r in range(k)] for c in range(k)]
+    shares = [1 - bad] + [bad / k] * k
+
+    def numbers(xs: list[float]) -> str:
+        return f"array({', '.join(f'{x}D' for x in xs)})"
+
+    like = "aggregate(zip_with(p.v, q, (v, x) -> CASE v WHEN -1 THEN ln(x) WHEN 1 THEN ln(1 - x) ELSE 0D END), 0D, (a, x) -> a + x)"
+    weights = f"zip_with(s.share, s.q, (w, q) -> w * exp({like}))"
+    shared = f"transform(array({weights}), w -> transform(w, x -> x / aggregate(w, 0D, (a, y) -> a + y)))[0]"
+    seen = "aggregate(e, 0D, (a, p) -> a + if(p.v[r] <> 0, p.n * p.w[c], 0D))"
+    hit = "aggregate(e, 0D, (a, p) -> a + if(p.v[r] = -1, p.n * p.w[c], 0D))"
+    total, own = "aggregate(e, 0D, (a, p) -> a + p.n)", "aggregate(e, 0D, (a, p) -> a + p.n * p.w[c])"
+    trust = f"if(c = 0 OR c = r + 1, {PRIOR}D * {seen}, 0D) + 1D"
+    rates = f"transform(sequence(0, {k}), c -> transform(sequence(0, {k - 1}), r -> transform(array({trust}), t -> ({hit} + t * o.q[c][r]) / ({seen} + t))[0]))"
     step = (
-        f"transform(array(transform(all_p, p -> struct(p.v AS v, p.n AS n, {good} AS g))), e -> struct("
-        "(aggregate(e, 0D, (a, p) -> a + p.n * (1 - p.g)) + 0.1D) / (aggregate(e, 0D, (a, p) -> a + p.n) + 1D) AS share, "
-        f"{rate('bad')} AS bad, {rate('good')} AS good))[0]"
+        f"transform(array(transform(all_p, p -> struct(p.v AS v, p.n AS n, {shared} AS w))), e -> struct("
+        f"transform(o.share, (x, c) -> ({own} + {SHARES}D * {total} * x + x) / ((1D + {SHARES}D) * {total} + 1D)) AS share, "
+        f"transform(array({rates}), q -> transform(q, x -> zip_with(x, q[0], (y, g) -> greatest(y, g))))[0] AS q))[0]"
     )
-    start = f"struct({share}D AS share, array_repeat({says_bad}D, {k}) AS bad, array_repeat({says_good}D, {k}) AS good)"
+    start = f"struct({numbers(shares)} AS share, array({', '.join(map(numbers, prior))}) AS q)"
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n")))).alias("all_p"))
-    fitted = one.withColumn("s", F.expr(f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step})"))
-    return fitted.select(F.explode("all_p").alias("p"), "s").select("p.v", F.expr(good).alias("p_good"))
+    fitted = one.withColumn("o", F.expr(start)).withColumn("s", F.expr(f"aggregate(sequence(1, {ROUNDS}), o, (s, i) -> {step})"))
+    return fitted.select(F.explode("all_p").alias("p"), "s").select("p.v", F.expr(f"{shared}[0]").alias("p_good"))
+
+
+def _judged(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(row, q): docs' columns keep in a struct, so that no name clashes, and the struct of counts, votes, base_failed, p_good
+    and kept. The counts go once to a table in the shared folder, as the fit and the verdict both need them."""
+    f = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), features(F.col(f"`{text}`")).alias("f"))
+    f = materialize(f.withColumn("v", votes("f")))
+    post = F.broadcast(posteriors(f.groupBy("v").agg(F.count(F.lit(1)).alias("n"))))  # 3^7 rows at most
+    failed = (F.col("f.n_words") < 50) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
+    verdict = F.struct("f.*", F.col("v").alias("votes"), failed.alias("base_failed"), F.col("p_good"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"))
+    return f.join(post, "v", "left").select("row", verdict.alias("q"))
 
 
-def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (their columns keep, else all) with a struct _quality: the counts, votes, base_failed, p_good and kept. The
-    counts go once to a table in the shared folder, as the fit and the verdict both need them."""
-    keep = docs.columns if keep is None else keep
-    f = docs.select(*[F.col(f"`{c}`") for c in keep], features(F.col(text)).alias("_quality"))
-    f = materialize(f.withColumn("_votes", votes("_quality")))
-    patterns = f.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_votes", "v")
-    post = F.broadcast(posteriors(patterns).withColumnRenamed("v", "_votes"))  # 3^7 rows at most
-    q = F.col("_quality")
-    failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
-    verdict = F.struct("_quality.*", F.col("_votes").alias("votes"), failed.alias("base_failed"), F.col("p_good"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"))
-    return f.join(post, "_votes", "left").select(*[F.col(f"`{c}`") for c in keep], verdict.alias("_quality"))
+def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col with the counts, votes, base_failed, p_good and kept, for every row of docs."""
+    return _judged(docs, text, [id_col]).select("row.*", "q.*")
 
 
-def filter_quality(docs: DataFrame) -> DataFrame:
+def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judged(docs).where("_quality.kept").drop("_quality")
+    return _judged(docs, text, docs.columns).where("q.kept").select("row.*")
 
 
 def op2_quality_votes(spark, sf_dir: str) -> DataFrame:
-    q = judged(load(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
-    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
-    return q.select("doc_id", *[f"_quality.{c}" for c in shown])
+    q = judged(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
