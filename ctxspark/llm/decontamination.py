@@ -9,7 +9,7 @@ The benchmark comes in blocks of a fixed number of words, so what a task holds i
 size; each block meets all documents in one scan, with no shuffle of texts. Items of fewer than ten words are sought
 whole, all words equal; items of fewer than five are no evidence and are ignored.
 
-Null and empty texts and items match nothing. Repeated rows are each judged; the report has one row for a doc_id. Empty
+Null and empty texts and items match nothing; a null item_id counts as the largest number. Repeated rows are each judged; the report has one row for a doc_id. Empty
 tables give empty results; extra columns are ignored (report) or kept (clean)."""
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ SPAN, LEAST, SHARE, SHORTEST = 10, 13, 0.8, 5
 #: Words of the benchmark that a task holds at once.
 BLOCK = 500_000
 BITS = 20
+#: Hits of a mask that are expanded at once, about.
+HITS = 1 << 20
+#: What a null id counts as.
+LAST = (1 << 63) - 1
 
 
 class Seeds:
@@ -59,13 +63,16 @@ class Seeds:
         found = []
         for key, (table, item, at, sieve) in self.tables.items():
             h = seeds(words, key)
-            pos = np.flatnonzero(sieve[h >> np.uint64(64 - BITS)])
-            pos = pos[pos + len(key) <= ends[np.searchsorted(ends, pos, "right")]]
-            lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
-            n = hi - lo
-            pos, lo = np.repeat(pos, n), np.repeat(lo, n)
-            entry = lo + np.arange(len(lo)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.searchsorted(ends, pos, "right"), item[entry], pos - at[entry]], 1))
+            every = np.flatnonzero(sieve[h >> np.uint64(64 - BITS)])
+            every = every[every + len(key) <= ends[np.searchsorted(ends, every, "right")]]
+            lows, n = np.searchsorted(table, h[every], "left"), np.searchsorted(table, h[every], "right")
+            n -= lows
+            every, lows, n = every[n > 0], lows[n > 0], n[n > 0]
+            cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // HITS)) + 1  # a seed of many items: some positions at a time
+            for pos, lo, m in zip(np.split(every, cuts), np.split(lows, cuts), np.split(n, cuts), strict=True):
+                pos, lo = np.repeat(pos, m), np.repeat(lo, m)
+                entry = lo + np.arange(len(lo)) - np.repeat(np.cumsum(m) - m, m)
+                found.append(np.unique(np.stack([np.searchsorted(ends, pos, "right"), item[entry], pos - at[entry]], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), int)
 
 
@@ -118,7 +125,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", bl
     """The benchmark in runs of about block words; the driver holds one at a time."""
     own, total = [], 0
     for r in benchmark.select(id_col, text).toLocalIterator(prefetchPartitions=False):
-        own.append((r[0], word_hashes(r[1])))
+        own.append((LAST if r[0] is None else r[0], word_hashes(r[1])))
         total += len(own[-1][1])
         if total >= block:
             yield own
@@ -152,15 +159,16 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no item contaminates, whole, with all their columns."""
     spark = docs.sparkSession
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # any names
     for own in blocks(benchmark):
         found = spark.sparkContext.broadcast(Seeds(own))  # BLOCK words at most
 
         def keep(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not x for x in judge(b.column(text).to_pylist(), found.value)], pa.bool_()))
+                yield b.filter(pa.array([not x for x in judge(b.column(0).field(text).to_pylist(), found.value)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        rows = rows.mapInArrow(keep, rows.schema)
+    return rows.select("row.*")
 
 
 def op1_spaced_seeds(spark, sf_dir: str) -> DataFrame:
