@@ -80,7 +80,8 @@ def resample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     picked = picked.groupBy("_i", "_hash").agg(F.sort_array(F.collect_list("times"), asc=False).alias("times"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     own = docs.select(row, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"), key.alias("_hash"))
-    own = own.withColumn("_n", F.row_number().over(W.partitionBy("_i", "_hash").orderBy(F.lit(0))))
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"_row.`{c}`") for c in docs.columns if c != text]))
+    own = own.withColumn("_n", F.row_number().over(W.partitionBy("_i", "_hash").orderBy(rest)))  # rows equal in all: any order
     out = own.join(picked, ["_i", "_hash"]).withColumn("_times", F.get("times", F.col("_n") - 1))
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_row.*")
 
