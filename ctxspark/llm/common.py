@@ -21,12 +21,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in
+    one process (tests); on a cluster it must be set."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="ctxspark-")
         _OWN[app] = f"{base.rstrip('/')}/ctxspark-{app}"
         atexit.register(_remove, spark, _OWN[app])

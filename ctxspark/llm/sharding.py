@@ -3,8 +3,8 @@
 Documents with equal text form a group, which stays together. Groups go by falling size, each to the shard with the
 least bytes so far. Groups of equal size are interchangeable, so the driver schedules a size class at once: the heap's
 c smallest of {load_i + j * size} say how many of the class's c groups each shard gets. That is the same schedule as
-one group at a time, and the driver sees distinct group sizes only (at most sqrt(2 x bytes of text) of them), never
-groups.
+one group at a time. The driver sees distinct group sizes only, never groups, and holds CLASSES of them at a time: sizes
+come in falling order and the plan goes in parts to a table in the shared folder.
 
 Null and empty texts are one group (0 bytes). Ties: by text hash, then doc_id; repeated rows stay in their group, each
 with a slot of its own. Empty tables give empty results; extra columns are ignored."""
@@ -12,15 +12,18 @@ with a slot of its own. Empty tables give empty results; extra columns are ignor
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialize, ranked
+from .common import load, materialize, ranked, shared_dir
 
 SHARDS = 16
+#: Size classes that the driver holds at once.
+CLASSES = 50_000
 
 
 def deal(loads: list[int], size: int, count: int) -> list[int]:
@@ -47,14 +50,18 @@ def deal(loads: list[int], size: int, count: int) -> list[int]:
     return got
 
 
-def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> pd.DataFrame:
-    """For each size class, falling: its first place in the order of groups, and the running counts by shard."""
+def schedule(classes: Iterable[tuple[int, int]], shards: int, most: int = CLASSES) -> Iterator[list[tuple]]:
+    """For classes (size, count), sizes falling: (size, its first place in the order of groups, the running counts by shard),
+    in lists of most."""
     loads, first, out = [0] * shards, 0, []
-    for size, count in zip(sizes.tolist(), counts.tolist(), strict=True):
+    for size, count in classes:
         got = deal(loads, size, count)
-        out.append((size, first, np.cumsum(got).tolist()))
+        out.append((size, first, list(accumulate(got))))
         first += count
-    return pd.DataFrame(out, columns=["_gsize", "_first", "_upto"])
+        if len(out) == most:
+            yield out
+            out = []
+    yield out
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -63,9 +70,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: i
     rows = materialize(docs.select(F.col(id_col), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("_key")))
     groups = rows.groupBy("_key").agg(F.sum("size").alias("_gsize"))
     groups = ranked(groups, [F.col("_gsize").desc(), F.col("_key")])
-    classes = groups.groupBy("_gsize").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("_gsize", ascending=False)
-    plan = schedule(classes["_gsize"].to_numpy(), classes["n"].to_numpy(), shards)
-    plan = spark.createDataFrame(plan, "_gsize long, _first long, _upto array<long>")
+    classes = materialize(groups.groupBy("_gsize").agg(F.count(F.lit(1)).alias("n")))
+    parts = (tuple(r) for r in classes.orderBy(F.desc("_gsize")).toLocalIterator())
+    where, form = f"{shared_dir(spark)}/{uuid.uuid4().hex}", "_gsize long, _first long, _upto array<long>"
+    for part in schedule(parts, shards):
+        spark.createDataFrame(part, form).coalesce(1).write.mode("append").parquet(where)
+    plan = spark.read.schema(form).parquet(where)
     at = F.size(F.filter("_upto", lambda x: x <= F.col("_rank") - F.col("_first")))
     homes = groups.join(plan, "_gsize").select("_key", at.alias("shard"))
     placed = rows.join(homes, "_key").select(id_col, "size", "text_crc32", "shard")
