@@ -94,7 +94,7 @@ def run(a: argparse.Namespace, now: int) -> tuple[int, object]:
     api, verb = Api(store, now), a.verb
     if verb in ("index", "build-graph"):
         return 0, build.index(store.spark, root, at, now, a.force)
-    if not os.path.exists(os.path.join(at, "CURRENT.json")):
+    if not os.path.exists(os.path.join(at, "pointers")):
         return 2, {"error": "no index; run index first"}
     tags = {k: v for k in ("domain", "region", "system") if (v := getattr(a, k, None))}
     if verb == "health":

@@ -1,7 +1,9 @@
 """Tables as Parquet snapshots with a pointer, so a reader sees one whole version or another.
 
 Parquet has no update: a merge writes the new rows and those old rows whose key isn't among them as the next version,
-then moves the pointer. One writer at a time. Paths are Hadoop paths; local ones work too."""
+then adds a pointer with the next number. Pointers are never changed: one is written under another name and renamed, and
+readers take the highest whole one, so a crash at any point leaves the version before. One writer at a time. Paths are
+Hadoop paths; local ones work too."""
 
 from __future__ import annotations
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ctxspark.schema import KEYS, SCHEMAS
 
 VERSION = 7
+#: Pointers that stay beside the newest.
+KEPT = 4
 
 
 class Store:
@@ -22,19 +26,28 @@ class Store:
         self._fs, self._path = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
     def _read_pointer(self) -> dict:
-        p = self._path(f"{self.root}/CURRENT.json")
-        if not self._fs.exists(p):
-            return {"version": VERSION, "tables": {}, "metadata": {}}
-        lines = self.spark.read.text(f"{self.root}/CURRENT.json", wholetext=True).first()
-        return json.loads(lines[0])
+        for n in reversed(self._pointers()):
+            try:
+                return json.loads(self.spark.read.text(f"{self.root}/pointers/{n}.json", wholetext=True).first()[0])
+            except (ValueError, TypeError):  # cut off
+                continue
+        return {"version": VERSION, "tables": {}, "metadata": {}}
+
+    def _pointers(self) -> list[int]:
+        folder = self._path(f"{self.root}/pointers")
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
 
     def _move_pointer(self, pointer: dict) -> None:
-        new = self._path(f"{self.root}/NEXT.json")
+        have = self._pointers()
+        new = self._path(f"{self.root}/pointers/next.tmp")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT.json"), False)
-        self._fs.rename(new, self._path(f"{self.root}/CURRENT.json"))
+        if not self._fs.rename(new, self._path(f"{self.root}/pointers/{max(have, default=0) + 1}.json")):
+            raise OSError(f"{self.root}: another writer was first")
+        for n in have[:-KEPT]:
+            self._fs.delete(self._path(f"{self.root}/pointers/{n}.json"), False)
 
     def read(self, table: str) -> DataFrame:
         at = self._read_pointer()["tables"].get(table)
