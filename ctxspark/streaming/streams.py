@@ -33,6 +33,16 @@ def per_window(events: DataFrame, window: str = "1 hour", late: str = "10 minute
     return e.groupBy(F.window(ts, window).alias("w"), F.col(by)).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
+def merge_entities(store: Store, found: DataFrame) -> None:
+    """Add found entities (as of gitlog) to the table: contents are appended, created_at stays, last_seen is now."""
+    have = store.read("entities")
+    old = have.select(F.lit(-1).cast("long").alias("seq"), "id", "type", "name", "content", "commit_sha")
+    touched = old.join(found.select("id").distinct(), "id", "left_semi").unionByName(found.select(*old.columns))
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    new = gitlog.accumulated(touched).join(have.select("id", F.col("created_at").alias("_at"), F.col("tags").alias("_tags")), "id", "left")
+    store.merge("entities", new.withColumns({"created_at": F.coalesce("_at", now), "last_seen": now, "tags": F.coalesce("_tags", F.array().cast("array<string>"))}).drop("_at", "_tags"))
+
+
 def sync_commits(store: Store, root: str) -> int:
     """Read the commits since the cursor and merge them; the same tables as reading all at once, but for relations, which
     relate the commits of one synchronisation only. The number of new commits."""
@@ -46,9 +56,7 @@ def sync_commits(store: Store, root: str) -> int:
         files, found = store.read("files"), gitlog.entities(log)
         store.merge("commits", gitlog.commit_rows(log))
         store.insert_ignore("commit_files", gitlog.commit_files(log, files))
-        old = store.read("entities").select(F.lit(-1).cast("long").alias("seq"), "id", "type", "name", "content", "commit_sha")
-        touched = old.join(found.select("id").distinct(), "id", "left_semi").unionByName(found.select(*old.columns))
-        store.merge("entities", gitlog.accumulated(touched).withColumn("tags", F.array().cast("array<string>")))
+        merge_entities(store, found)
         store.insert_ignore("backlinks", gitlog.relation_rows(found))
         store.insert_ignore("entity_symbols", gitlog.entity_symbols(found, store.read("symbols"), files))
         store.set_metadata("last_indexed_sha", log.agg(F.max_by("sha", "seq")).first()[0])
@@ -60,9 +68,6 @@ def entity_stream(commits: DataFrame, store: Store, checkpoint: str):
     """Start a stream of commit rows (as of gitlog) that keeps the entities' table up to date, batch by batch."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        found = gitlog.entities(batch)
-        old = store.read("entities").select(F.lit(-1).cast("long").alias("seq"), "id", "type", "name", "content", "commit_sha")
-        touched = old.join(found.select("id").distinct(), "id", "left_semi").unionByName(found.select(*old.columns))
-        store.merge("entities", gitlog.accumulated(touched))
+        merge_entities(store, gitlog.entities(batch))
 
     return commits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
