@@ -5,6 +5,8 @@ characters, so \\b is spelled as a pair of look-arounds."""
 
 from __future__ import annotations
 
+import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -86,12 +88,23 @@ def clamp_text(x: Column, most: int, mark: str = "...") -> Column:
 
 
 def classify_type(x: Column) -> Column:
-    """The first entity type one of whose words occurs."""
-    first, *rest = TYPE_WORDS
-    rule = F.when(x.rlike(rf"(?i){LEFT}(?:{first[1]}){RIGHT}"), first[0])
-    for name, words in rest:
-        rule = rule.when(x.rlike(rf"(?i){LEFT}(?:{words}){RIGHT}"), name)
-    return rule.otherwise("concept")
+    """The first entity type one of whose words occurs. The text is cut into words once; a pattern is tried only for a phrase
+    whose first word occurs."""
+    low = F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
+    kinds = [(name, words.split("|")) for name, words in TYPE_WORDS]
+    known = sorted({re.match(r"\w+", w)[0] for _, words in kinds for w in words})
+
+    def first(found: Column) -> Column:
+        rule = F
+        for name, words in kinds:
+            hit = F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if w.isidentifier()]))
+            for w in words:
+                if not w.isidentifier():
+                    hit = hit | (F.array_contains(found, re.match(r"\w+", w)[0]) & low.rlike(f"{LEFT}{w}{RIGHT}"))
+            rule = rule.when(hit, name)
+        return rule.otherwise("concept")
+
+    return F.transform(F.array(F.filter(F.split(low, "[^a-z0-9_]+"), lambda t: t.isin(*known))), first)[0]
 
 
 def derive_name(message: Column) -> Column:

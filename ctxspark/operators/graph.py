@@ -61,12 +61,12 @@ def representative_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def nearest_following(marks: DataFrame, events: DataFrame, key: str, at: str, then: str, carry: list[str]) -> DataFrame:
     """As-of join forwards: for each mark(key, at) the event of the same key with the least then >= at. The two are laid in
-    one order and the next event is carried back, so no pair is made."""
+    one falling order and the last event seen is carried on, so no pair is made and a key's rows are read once."""
     m = marks.select(*marks.columns, F.col(at).alias("_t"), F.lit(0).alias("_kind"))
     e = events.select(F.col(key), F.col(then).alias("_t"), F.lit(1).alias("_kind"), F.struct(F.col(then).alias("then"), *carry).alias("_next"))
     both = m.unionByName(e, allowMissingColumns=True)
-    ahead = W.partitionBy(key).orderBy("_t", "_kind", F.col("_next").asc_nulls_first()).rowsBetween(0, W.unboundedFollowing)
-    found = both.withColumn("_next", F.first("_next", ignorenulls=True).over(ahead)).where("_kind = 0")
+    ahead = W.partitionBy(key).orderBy(F.desc("_t"), F.desc("_kind"), F.col("_next").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("_next", F.last("_next", ignorenulls=True).over(ahead)).where("_kind = 0")
     return found.select(*marks.columns, F.col("_next.then").alias(then), *[F.col(f"_next.{c}").alias(c) for c in carry])
 
 
