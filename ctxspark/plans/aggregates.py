@@ -160,9 +160,9 @@ def requirement_orphans(spark, d):
     return requirements.orphan_requirements(reqs, table(spark, d, "labels").select(F.col("doc_id").alias("req_id")))
 
 
-@R.query("SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'A')")
+@R.query("SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'A' AND l_quantity < 3)")
 def untracked(spark, d):
-    links = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("symbol_id"))
+    links = table(spark, d, "lineitem").where("l_returnflag = 'A' AND l_quantity < 3").select(F.col("l_partkey").alias("symbol_id"))
     return requirements.untracked_symbols(table(spark, d, "part").select(F.col("p_partkey").alias("id")), links)
 
 
