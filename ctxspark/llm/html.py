@@ -1,8 +1,9 @@
 """Main text of HTML pages from flat blocks.
 
-A page becomes a flat list of text blocks (no tree): each with its words, link density, those of its neighbours, and
-whether it stands in a container that names itself main text or boilerplate. A decision tree, fitted here to the
-blocks of a small labelled table of pages, classifies them.
+A page becomes a flat list of text blocks (no tree): each with its words, link density, those of its neighbours, whether
+it stands in an article, and whether in a container that names itself main text or boilerplate. A decision tree, fitted
+here to the blocks of a small labelled table of pages, classifies them: in an article the names within it count, elsewhere
+words and links.
 
 Null and empty pages give an empty text; pages cut off anywhere are read as far as they go. Every page has its row,
 repeated pages too; a row depends on its own page. Empty tables give empty results; extra columns are ignored."""
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,37 +25,56 @@ from .common import load
 
 #: Elements whose content is no text of the page; a template of fixed values from the HTML standard.
 SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|datalist|title|audio|video"
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+#: What stands in a tag after its name; without backtracking, and ended by the next tag, so that reading stays linear.
+ATTRS = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<({SKIPPED})\b{ATTRS}>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)({ATTRS})>", re.S | re.I)
+ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: A tag that a cut page leaves open at its end.
 OPEN_END = re.compile(r"<[/!?a-zA-Z][^<>]*$")
 BROKEN = re.compile(r"</?[a-zA-Z][^<>]*>?")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("hr".split())
 BAD_TAGS = frozenset("nav footer aside form button menu dialog search fieldset".split())
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|side-?bar|aside|widget\w*|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|sign-?up|login|comments?|comment-\w+|commentlist|disqus\w*|respon[ds]e?s?|repl(?:y|ies)|discussion|feedback|share|sharing|social\w*|related|recommend\w*|trending|popular|pagination|pager|toolbar|masthead|site-?header|page-?header|topbar|copyright|legal|disclaimer|skip\w*|hidden|tags|teaser)(?:$|[\s_-])", re.I)
+BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|side-?bar|aside|widget\w*|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscri\w*|sign-?up|login|comments?|comment-\w+|commentlist|disqus\w*|respon[ds]e?s?|repl(?:y|ies)|discussion|feedback|share|sharing|social\w*|related|recommend\w*|trending|popular|pagination|pager|toolbar|masthead|site-?header|page-?header|topbar|copyright|legal|disclaimer|skip\w*|tags|teaser)(?:$|[\s_-])", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body-?text|prose|text)(?:$|[\s_-])", re.I)
-NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED_BY = ("class", "id", "role", "aria-label")
 #: Names that say what a page has or lacks, not what the element is.
 MODIFIERS = re.compile(r"(?<!\S)(?:has|no|with|without)-\S+|(?<!\S)\S+-(?:open|closed|enabled|disabled)(?!\S)", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-QUOTED = re.compile(r"(?<!=)\"[^\"]*\"")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+UNSEEN_NAMES = frozenset("hidden d-none sr-only visually-hidden screen-reader-text".split())
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "good", "bad", "heading", "item", "label")
+    __slots__ = ("text", "words", "linked", "inside", "good", "bad", "heading", "item", "label")
 
-    def __init__(self, text: str, linked: int, good: bool, bad: bool, heading: bool, item: bool, label: int):
-        self.text, self.words, self.linked, self.good, self.bad, self.heading, self.item, self.label = text, len(text.split()), linked, good, bad, heading, item, label
+    def __init__(self, text: str, linked: int, inside: bool, good: bool, bad: bool, heading: bool, item: bool, label: int):
+        self.text, self.words, self.linked, self.inside, self.good, self.bad, self.heading, self.item, self.label = text, len(text.split()), linked, inside, good, bad, heading, item, label
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """A tag's attributes by lower-case name, the first of equal ones."""
+    out: dict[str, str] = {}
+    for name, *values in ATTR.findall(raw):
+        out.setdefault(name.lower(), entities.unescape("".join(values)))
+    return out
+
+
+def unseen(attrs: dict[str, str], names: str) -> bool:
+    """Whether an element isn't shown: what its style, its hidden attributes or a class of that one name say."""
+    hidden = attrs.get("hidden", "until-found").strip().lower() != "until-found"
+    return hidden or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(attrs.get("style", ""))) or not UNSEEN_NAMES.isdisjoint(names.lower().split())
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order. Of open elements only block containers are remembered, so tags that are never
     closed do no harm; a closing tag ends the nearest container of its name, and an open p ends at any block's start. The
-    names of html and body speak of the whole page and aren't read. The outermost article or main undoes what the names of
-    containers around it say, but not nav, aside and the like, nor what is hidden."""
+    names of html and body speak of the whole page and aren't read, nor are those of the outermost article or main, which
+    undoes what the names of containers around it say, but not nav, aside and the like, nor what is hidden. The head ends
+    where a block begins."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]  # name, good, bad, label, bad by more than a name, in article or main
+    open_: Counter[str] = Counter()  # names on the stack
     parts: list[str] = []
     linked, in_link, heading, item, head = 0, False, False, False, False
 
@@ -62,8 +83,8 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text and not head:
-                _, good, bad, label, _, _ = stack[-1]
-                out.append(Block(text, linked, good, bad, heading, item, label))
+                _, good, bad, label, _, inside = stack[-1]
+                out.append(Block(text, linked, inside, good, bad, heading, item, label))
             parts.clear()
         linked = 0
 
@@ -93,34 +114,29 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         elif name in BLOCKS:
             flush()
-            if name in ("head", "body"):
-                head = name == "head" and not closing
-            heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
+            head = name == "head" and not closing or head and name == "html"
+            heading = not closing and name in HEADINGS
             item = not closing and name in ("li", "td", "th", "dt", "option")
             if closing:
-                if name == "p":
-                    if stack[-1][0] == "p":
-                        stack.pop()
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if open_[name] and (name != "p" or stack[-1][0] == "p"):
+                    while stack[-1][0] != name:
+                        open_[stack.pop()[0]] -= 1
+                    open_[stack.pop()[0]] -= 1
                 continue
-            attrs = m[4]
             while stack[-1][0] == "p" or (name == "p" or heading) and stack[-1][0] in HEADINGS:  # ends here
-                stack.pop()
-            if name in VOID or (name == "p" or heading) and not attrs:
+                open_[stack.pop()[0]] -= 1
+            if name in VOID or (name == "p" or heading) and not m[4]:
                 continue
+            attrs = attributes(m[4]) if m[4] else {}
             _, good, bad, label, sure, inside = stack[-1]
-            names = " ".join(" ".join(x) for x in NAMES.findall(attrs)) if attrs and name not in ("html", "body") else ""
-            plain = name == "header" and not good
-            if name in ("article", "main"):
-                bad, inside = bad and (sure or inside), True
-            sure = sure or name in BAD_TAGS or plain or bool(attrs and HIDDEN.search(QUOTED.sub("", attrs) if "style" not in attrs else attrs))
-            bad = bad or sure or bool(names and BAD_NAMES.search(MODIFIERS.sub(" ", names)))
-            good = good or name in ("article", "main") or bool(names and GOOD_NAMES.search(names))
-            stack.append((name, good, bad, label if "data-y" not in attrs else int('data-y="1"' in attrs), sure, inside))
+            names = " ".join(attrs[k] for k in NAMED_BY if k in attrs) if name not in ("html", "body") else ""
+            plain = name == "header" and not (good or inside)
+            outermost = name in ("article", "main") and not inside
+            sure = sure or name in BAD_TAGS or plain or unseen(attrs, names)
+            bad = sure or (bad or bool(names and BAD_NAMES.search(MODIFIERS.sub(" ", names)))) and not outermost
+            good = good or bool(names and GOOD_NAMES.search(names))
+            stack.append((name, good, bad, int(attrs["data-y"]) if "data-y" in attrs else label, sure, inside or name in ("article", "main")))
+            open_[name] += 1
     rest = page[at:]
     text(OPEN_END.sub("", rest))
     flush()
@@ -132,12 +148,13 @@ def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *(b.words for b in found), 0], float)
     dense = np.array([0, *(b.linked / b.words if b.words else 0 for b in found), 0], float)
-    flags = np.array([(b.good, b.bad, b.heading, b.item) for b in found], float).reshape(n, 4)
+    flags = np.array([(b.inside, b.good, b.bad, b.heading, b.item) for b in found], float).reshape(n, 5)
     return np.column_stack([words[1:-1], dense[1:-1], words[:-2], dense[:-2], words[2:], dense[2:], flags])
 
 
-def labelled_pages(seed: int = 7, pages: int = 120) -> list[str]:
-    """The small labelled table: pages put together from parts; data-y marks what is main text."""
+def labelled_pages(seed: int = 7, pages: int = 240) -> list[str]:
+    """The small labelled table: pages put together from parts; data-y marks what is main text. Half have containers that
+    name themselves; of the rest some name nothing and some call the whole page content, so that words and links decide."""
     r = random.Random(seed)
 
     def words(lo: int, hi: int) -> str:
@@ -163,8 +180,24 @@ def labelled_pages(seed: int = 7, pages: int = 120) -> list[str]:
             lambda: f"<header><h1>{words(1, 3)}</h1><p>{words(3, 8)}</p></header>",
         ])()
 
+    def bare(page: str) -> str:
+        page = re.sub(r"<(/?)(?:nav|aside|form|header|footer|button|label|input)\b", r"<\1div", page)
+        return re.sub(r' (?:class|id)="[^"]*"', lambda _: r.choice(["", f' class="c{r.randint(1, 40)}"']), page)
+
+    def nameless() -> str:
+        text = f"<h1>{words(4, 12)}</h1>" + "".join(f"<p>{words(*r.choice([(12, 30), (30, 120)]))}{f' <a href=x>{words(1, 3)}</a> ' + words(8, 30) if r.random() < 0.2 else ''}</p>" for _ in range(r.randint(2, 9)))
+        short = [lambda: f"<div>{words(1, 8)}</div>", lambda: f"<div><p>{words(2, 9)} <a href=x>{words(1, 3)}</a></p></div>", lambda: f"<table><tr><td><a href=x>{words(1, 4)}</a></td><td>{words(1, 3)}</td></tr></table>"]
+        around = [f"<div><ul>{links(r.randint(3, 9))}</ul></div>", *[r.choice([*short, lambda: bare(f"<nav><ul>{links(4)}</ul></nav>")])() for _ in range(r.randint(2, 5))]]
+        cut = r.randint(1, len(around))
+        wrap = r.choice(['<div data-y="1">{}</div>', '<section data-y="1">{}</section>', '<div class="c7" data-y="1">{}</div>', '<table><tr><td data-y="1">{}</td></tr></table>'])
+        whole = "".join(around[:cut]) + wrap.format(text) + "".join(around[cut:]) + f"<div><p>&copy; {words(2, 8)}</p></div>"
+        return r.choice(['<body>{}</body>', '<body><div class="content">{}</div></body>', '<body><div id="main">{}</div></body>']).format(whole)
+
     out = []
-    for _ in range(pages):
+    for n in range(pages):
+        if n % 2:
+            out.append(nameless())
+            continue
         body = f"<h1>{words(2, 9)}</h1>" + paras(r.randint(1, 9))
         if r.random() < 0.3:
             body += f"<h2>{words(1, 5)}</h2><ul>" + "".join(f"<li>{words(3, 20)}</li>" for _ in range(3)) + f"</ul><blockquote>{words(5, 40)}</blockquote>" + paras(2)
