@@ -77,7 +77,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: i
         spark.createDataFrame(part, form).coalesce(1).write.mode("append").parquet(where)
     plan = spark.read.schema(form).parquet(where)
     at = F.size(F.filter("_upto", lambda x: x <= F.col("_rank") - F.col("_first")))
-    homes = groups.join(plan, "_gsize").select("_key", at.alias("shard"))
+    homes = groups.join(plan.hint("merge"), "_gsize")  # the plan grows with the input: never broadcast
+    homes = homes.select("_key", at.alias("shard"))
     placed = rows.join(homes, "_key").select(id_col, "size", "text_crc32", "shard")
     placed = ranked(placed, [F.col("shard"), F.col(id_col), F.col("text_crc32"), F.col("size")])
     ends = placed.groupBy("shard").agg(F.min("_rank").alias("_start"))
