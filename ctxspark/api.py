@@ -5,6 +5,7 @@ serve() answers GET /api/... and POST /context on a local address; serve_tools()
 from __future__ import annotations
 
 import json
+import os
 import sys
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxspark.operators import cache, dashboard, graph, health, requirements, search, vector
+from ctxspark.sources import files as source
 from ctxspark.sources import reports
 from ctxspark.store import Store
+from ctxspark.streaming.streams import sync_commits
 
 MODES = ("lexical", "semantic", "hybrid")
 
@@ -35,8 +38,19 @@ def limit_param(value: str | None, default: int) -> int:
 
 
 class Api:
-    def __init__(self, store: Store, now: int, registry: str | None = None, embedder: vector.Embedder | None = None):
-        self.store, self.now, self.registry, self.embedder = store, now, registry, embedder
+    """root is the repository that the store indexes: with it, reads of knowledge take in new commits first, summaries have
+    text, markdown is part of the corpus and its settings count."""
+
+    def __init__(self, store: Store, now: int, registry: str | None = None, embedder: vector.Embedder | None = None, root: str | None = None):
+        self.store, self.now, self.registry, self.embedder, self.root = store, now, registry, embedder, root
+
+    def fresh(self) -> None:
+        """Take in new commits; a failure leaves the store as it is."""
+        if self.root and os.path.isdir(os.path.join(self.root, ".git")):
+            try:
+                sync_commits(self.store, self.root)
+            except Exception as e:
+                print(f"sync skipped: {e}", file=sys.stderr)
 
     def t(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -82,9 +96,37 @@ class Api:
         files, syms = dashboard.symbols(self.t("files"), self.t("symbols"), limit)
         return {"files": rows(files), "symbols": rows(syms)}
 
+    def corpus(self) -> DataFrame:
+        """The documents to embed: entities, symbols, module cards and, with a root, its markdown."""
+        t = self.t
+        docs = vector.entity_docs(t("entities")).unionByName(vector.symbol_docs(t("symbols"), t("files")))
+        docs = docs.unionByName(vector.module_cards(t("files"), t("symbols"), t("imports"), t("sql_queries"), t("query_tables")))
+        return docs.unionByName(vector.markdown_chunks(source.source_tree(self.store.spark, self.root, True))) if self.root else docs
+
+    def embed(self, only_stale: bool = False) -> int:
+        """Bring the vector table up to date; the number of documents that were new or had changed."""
+        corpus, stored = self.corpus(), self.t("embeddings")
+        embedder = self.embedder or vector.HashedEmbedder()
+        usable = stored.where((F.col("model") == embedder.model) & (F.col("dim") == embedder.dim))
+        stale = vector.staleness(corpus, usable).count()
+        if stale or not only_stale:
+            self.store.write(embeddings=vector.embed(corpus, stored, embedder, self.now))
+        return stale
+
+    def auto_embed(self) -> dict:
+        """Embed what is stale where the settings allow it, else say how."""
+        if not (self.root and source.settings(self.root)["semantic"]):
+            return {"hint": f"set enabled = true under [semantic] in {source.CONFIG}"}
+        return {"embedded": self.embed(only_stale=True)}
+
     def embed_status(self) -> dict:
-        corpus = vector.entity_docs(self.t("entities"))
-        return rows(vector.embed_status(corpus, self.t("embeddings")))[0]
+        corpus = self.corpus()
+        own = source.settings(self.root) if self.root else {"semantic": False}
+        embedder = self.embedder or vector.HashedEmbedder()
+        status = rows(vector.embed_status(corpus, self.t("embeddings")))[0]
+        available = own["semantic"] and status["embedded"] > 0
+        hint = {} if available else {"hint": "run embed" if own["semantic"] else f"run embed, then set enabled = true under [semantic] in {source.CONFIG}"}
+        return status | hint | {"available": available, "model": embedder.model, "dim": embedder.dim, "corpus_counts": rows(vector.corpus_counts(corpus))[0]}
 
     def search(self, query: str, limit: int = 20, mode: str | None = None) -> list[dict]:
         """Entities by BM25; semantic and hybrid add vectors where there are some, else fall back to the lexical list."""
@@ -98,9 +140,7 @@ class Api:
         stored = self.t("embeddings")
         if self.embedder is not None and not stored.isEmpty():
             q = [float(x) for x in self.embedder.embed([query])[0]]
-            near = vector.knn(stored.withColumn("key", F.concat_ws("\u0000", "kind", "doc_id")), q, limit, "key")
-            hit = search.numbered(near, limit, F.asc("distance"), F.asc("key"))
-            vec = hit.join(stored.select(F.concat_ws("\u0000", "kind", "doc_id").alias("key"), "kind", F.col("doc_id").alias("id"), "label"), "key").select("kind", "id", "rn", "label")
+            vec = search.numbered(search.vector_hits(stored, q, limit), limit, *search.hit_order()).select("kind", "id", "rn", "label")
         if mode == "semantic":
             return rows((vec if vec is not None else ranked).orderBy("rn"))
         files = search.numbered(self.retrieve_frame(query, limit), limit, F.desc("score"), F.asc("path")).select(F.lit("file").alias("kind"), F.col("path").alias("id"), "rn", F.col("path").alias("label"))
@@ -111,7 +151,12 @@ class Api:
         return search.retrieve(self.t("files").select("id", "path"), self.t("symbols").select("id", "file_id", "name"), edges, query, k)
 
     def retrieve(self, query: str, k: int = 10) -> list[dict]:
-        return rows(self.retrieve_frame(query, k))
+        """The best files with score, symbols and a summary (empty without a root)."""
+        spark = self.store.spark
+        hits = search.with_symbols(self.retrieve_frame(query, k), self.t("files"), self.t("symbols"))
+        hits = spark.createDataFrame(hits.collect(), hits.schema)  # k rows
+        texts = source.some_files(spark, self.root, [r["path"] for r in hits.select("path").collect()]) if self.root else None
+        return rows(search.with_summary(hits, texts).orderBy(F.desc("score"), "path"))
 
     def backlinks(self, id_: str, hops: int = 1) -> dict:
         if not 1 <= hops <= 5:
@@ -126,8 +171,9 @@ class Api:
         found = self.entity(id_)
         if found is None:
             return requirements.context(id_, self.t("requirements"), self.t("atomic_requirements"), self.t("commits"), self.t("requirement_code_links"), self.t("symbols"), self.t("files"))
-        linked = self.t("entity_symbols").where(F.col("entity_id") == found["id"]).join(self.t("symbols").select(F.col("id").alias("symbol_id"), "name"), "symbol_id")
-        return found | {"symbols": rows(linked.select("name").orderBy("name"))}
+        symbols = self.t("symbols").select(F.col("id").alias("symbol_id"), "file_id", "name", "kind")
+        linked = self.t("entity_symbols").where(F.col("entity_id") == found["id"]).join(symbols, "symbol_id").join(self.t("files").select(F.col("id").alias("file_id"), "path"), "file_id")
+        return found | {"symbols": rows(linked.select(F.col("symbol_id").alias("id"), "name", "kind", "path").orderBy("path", "name", "id")), "data_flow": rows(graph.counts(self.projected()))[0]}
 
     def by_type(self, kind: str, limit: int = 20) -> list[dict]:
         return rows(dashboard.by_type(self.t("entities"), kind, limit))
@@ -180,6 +226,7 @@ class Api:
             "semantic_search": lambda: self.search(args["query"], int(args.get("limit", 10)), args.get("mode", "hybrid")), "get_entity": lambda: self.get_entity(args["entity_id"]), "get_backlinks": lambda: self.backlinks(args["entity_id"], int(args.get("hops", 1))),
             "get_decisions": lambda: self.by_type("decision", int(args.get("limit", 20))), "get_bugs": lambda: self.by_type("bug_fix", int(args.get("limit", 20))), "get_patterns": lambda: self.by_type("pattern", int(args.get("limit", 20))),
         }
+        self.fresh()
         return tools[name]()
 
 

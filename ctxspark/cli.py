@@ -10,15 +10,17 @@ import time
 
 from pyspark.sql import functions as F
 
-from ctxspark import build
-from ctxspark.api import Api, serve, serve_tools
-from ctxspark.operators import health, repair, requirements, vector
+from ctxspark import build, hooks
+from ctxspark.api import Api, rows, serve, serve_tools
+from ctxspark.operators import graph, health, repair, requirements
 from ctxspark.session import get_session
+from ctxspark.sources import files as source
 from ctxspark.sources import reports
 from ctxspark.store import Store
 from ctxspark.streaming.streams import sync_commits
 
 STORE = ".ctxspark"
+HOOKS = ("session-start", "user-prompt-submit", "post-tool-use", "session-end")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--reset", action="store_true")
     for kind in ("vitest", "eslint", "junit", "coverage"):
         x.add_argument(f"--{kind}")
-    s.add_parser("repair").add_argument("--threshold", type=int, default=70)
+    s.add_parser("repair").add_argument("--threshold", type=int)
     x = s.add_parser("retrieve")
     x.add_argument("query")
     x.add_argument("--top", type=int, default=10)
@@ -59,6 +61,10 @@ def parser() -> argparse.ArgumentParser:
     for verb in ("summarize-graph", "git-index", "git-sync", "embed", "mcp"):
         s.add_parser(verb)
     s.add_parser("serve").add_argument("--port", type=int, default=0)
+    x = s.add_parser("hook")
+    x.add_argument("name", choices=HOOKS)
+    for name, default in (("task", ""), ("tool", ""), ("session", "unknown"), ("summary", "")):
+        x.add_argument(f"--{name}", default=default)
     return p
 
 
@@ -87,13 +93,47 @@ def import_requirements(store: Store, kind: str, path: str) -> dict:
     return out
 
 
+def start_session(store: Store, api: Api, root: str, now: int) -> dict:
+    """New commits, changed files, stale embeddings where the settings allow them, and repair below the set score."""
+    own = source.settings(root)
+
+    def mend() -> object:
+        return [x["stage"] for x in repair.repair(store, root, now, own["repair_below"])] if repair.score(store, now) < own["repair_below"] else "healthy"
+
+    steps = {
+        "sync": lambda: sync_commits(store, root) if os.path.isdir(os.path.join(root, ".git")) else "no history",
+        "index": lambda: build.index_tree(store, source.source_tree(store.spark, root), now),
+        "embed": lambda: api.auto_embed() if own["semantic"] else "off",
+        "repair": mend,
+    }
+    return hooks.session_start(store, root, now, steps, own["session_budget_ms"])
+
+
+def run_hook(a: argparse.Namespace, store: Store, api: Api, root: str, at: str, now: int) -> object:
+    if a.name == "session-start":
+        return start_session(store, api, root, now)
+    if a.name == "user-prompt-submit":
+        return hooks.user_prompt(api, a.task)
+    if a.name == "post-tool-use":
+        return hooks.post_tool_use(os.path.join(at, "log"), a.tool, a.session, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now / 1000)))
+    return {"summary": hooks.session_end(os.path.join(at, "sessions"), a.session, a.summary)}
+
+
+def summarize(api: Api) -> dict:
+    """What the data flow holds, and what is left out of it."""
+    found = graph.validate(api.t("files"), api.t("sql_queries"), api.t("query_tables"))
+    return rows(found["counts"])[0] | {"orphan_queries": found["orphan_queries"].count(), "unmapped_files": found["unmapped_files"].count()}
+
+
 def run(a: argparse.Namespace, now: int) -> tuple[int, object]:
     root = os.path.abspath(a.repo)
     at = a.store or os.path.join(root, STORE)
     store = Store(get_session(master=os.environ.get("CTXSPARK_MASTER", "local[*]")), at)
-    api, verb = Api(store, now), a.verb
+    api, verb = Api(store, now, root=root), a.verb
     if verb in ("index", "build-graph"):
-        return 0, build.index(store.spark, root, at, now, a.force)
+        return 0, build.index(store.spark, root, at, now, a.force) | api.auto_embed()
+    if verb == "hook" and a.name != "user-prompt-submit":
+        return 0, run_hook(a, store, api, root, at, now)
     if not os.path.exists(os.path.join(at, "pointers")):
         return 2, {"error": "no index; run index first"}
     tags = {k: v for k in ("domain", "region", "system") if (v := getattr(a, k, None))}
@@ -101,12 +141,12 @@ def run(a: argparse.Namespace, now: int) -> tuple[int, object]:
         r = api.health()
         return int(r["score"] < a.threshold), r
     if verb == "repair":
-        stages = repair.repair(store, root, now, a.threshold, lambda: build.index(store.spark, root, at, now, True))
-        return int(stages[-1]["score"] < a.threshold), stages
+        least = source.settings(root)["repair_below"] if a.threshold is None else a.threshold
+        stages = repair.repair(store, root, now, least, lambda: build.index(store.spark, root, at, now, True))
+        return int(stages[-1]["score"] < least), stages
     if verb == "embed":
-        corpus = vector.entity_docs(api.t("entities")).unionByName(vector.symbol_docs(api.t("symbols"), api.t("files"))).unionByName(vector.module_cards(api.t("files"), api.t("symbols"), api.t("imports"), api.t("sql_queries"), api.t("query_tables")))
-        store.write(embeddings=vector.embed(corpus, store.read("embeddings"), vector.HashedEmbedder(), now))
-        return 0, {"embedded": store.read("embeddings").count()}
+        stale = api.embed()
+        return 0, {"stale": stale, "embedded": store.read("embeddings").count()}
     if verb == "serve":
         server = serve(api, a.port)
         print(f"http://127.0.0.1:{server.server_port}", file=sys.stderr)
@@ -114,12 +154,14 @@ def run(a: argparse.Namespace, now: int) -> tuple[int, object]:
     if verb == "mcp":
         serve_tools(api)
         return 0, None
+    if verb in ("retrieve", "search"):
+        api.fresh()
     calls = {
         "signal": lambda: signals(store, a, now), "retrieve": lambda: api.retrieve(a.query, a.top), "search": lambda: api.search(a.query, a.limit, a.mode),
         "requirements-import": lambda: import_requirements(store, a.format, a.file), "sync-requirements": lambda: import_requirements(store, "native", a.file), "check-req-coverage": api.coverage,
         "analyze-impact": lambda: api.impact(a.table, **tags), "check-parallel-storage": lambda: api.parallel_storage(**tags), "list-tables": lambda: [r["table_name"] for r in api.t("query_tables").select("table_name").distinct().orderBy("table_name").collect()],
-        "find-table-usage": lambda: [r["path"] for r in api.projected().where(F.col("table_name") == a.table).select("path").distinct().orderBy("path").collect()], "summarize-graph": lambda: {k: len(v) for k, v in api.dataflow().items()},
-        "git-index": lambda: {"commits": sync_commits(store, root)}, "git-sync": lambda: {"commits": sync_commits(store, root)},
+        "find-table-usage": lambda: [r["path"] for r in api.projected().where(F.col("table_name") == a.table).select("path").distinct().orderBy("path").collect()], "summarize-graph": lambda: summarize(api), "hook": lambda: run_hook(a, store, api, root, at, now),
+        "git-index": lambda: {"commits": sync_commits(store, root)}, "git-sync": lambda: {"commits": sync_commits(store, root)} | api.auto_embed(),
     }
     return 0, calls[verb]()
 

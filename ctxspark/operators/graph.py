@@ -108,6 +108,11 @@ def parallel_storage(graph: DataFrame, tags: dict[str, str] | None = None) -> Da
     return tagged(graph, tags).groupBy("table_name").agg(F.array_sort(F.collect_set(X.storage_system(F.col("path")))).alias("systems")).where(F.size("systems") > 1)
 
 
+def counts(graph: DataFrame) -> DataFrame:
+    """One row: the tables, queries and files of the data flow."""
+    return graph.agg(F.count_distinct("table_name").alias("tables"), F.count_distinct("query_id").alias("queries"), F.count_distinct("path").alias("files"))
+
+
 def validate(files: DataFrame, queries: DataFrame, query_tables: DataFrame) -> dict[str, DataFrame]:
     """Queries without a table, and files with SQL but no service."""
     orphan = queries.join(query_tables.select(F.col("query_id").alias("id")), "id", "left_anti")

@@ -129,8 +129,16 @@ def embed(corpus: DataFrame, stored: DataFrame | None, embedder: Embedder, now:
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def corpus_counts(corpus: DataFrame) -> DataFrame:
+    """One row with the number of documents of each kind."""
+    return corpus.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("entity", "symbol", "module", "doc")])
+
+
 def embed_status(corpus: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row: corpus size, embedded, coverage, stale and the last time."""
-    m = stored.select("kind", "doc_id", F.col("hash").alias("_old"), "embedded_at")
+    """One row: corpus size, rows embedded (orphans included), their ratio, stale documents and the last time."""
+    m = stored.select("kind", "doc_id", F.col("hash").alias("_old"))
     j = corpus.join(m, ["kind", "doc_id"], "left")
-    return j.agg(F.count(F.lit(1)).alias("total"), F.count("_old").alias("embedded"), (F.count("_old") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("coverage"), F.count_if(F.col("_old").isNull() | (F.col("_old") != F.sha2("text", 256))).alias("stale"), F.max("embedded_at").alias("last_embed_at"))
+    now = j.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_old").isNull() | (F.col("_old") != F.sha2("text", 256))).alias("stale"))
+    had = stored.agg(F.count(F.lit(1)).alias("embedded"), F.max("embedded_at").alias("last_embed_at"))
+    ratio = F.when(F.col("total") == 0, 0.0).otherwise(F.col("embedded") / F.col("total"))
+    return now.crossJoin(had).select("total", "embedded", ratio.alias("coverage"), "stale", "last_embed_at")  # single rows

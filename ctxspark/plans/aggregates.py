@@ -148,7 +148,7 @@ def orphan_purge(spark, d):
     return vector.orphans(_corpus(spark, d), _meta(spark, d)).select("doc_id")
 
 
-@R.query(f"WITH {_META} SELECT count(*) AS total, count(m.hash) AS embedded, round(count(m.hash) / count(*), 6) AS coverage, count(*) FILTER (m.hash IS NULL OR m.hash <> now) AS stale FROM c LEFT JOIN m USING (doc_id)")
+@R.query(f"WITH {_META} SELECT count(*) AS total, (SELECT count(*) FROM m) AS embedded, round((SELECT count(*) FROM m) / count(*), 6) AS coverage, count(*) FILTER (m.hash IS NULL OR m.hash <> now) AS stale FROM c LEFT JOIN m USING (doc_id)")
 def embed_status(spark, d):
     s = vector.embed_status(_corpus(spark, d), _meta(spark, d))
     return s.select("total", "embedded", F.round("coverage", 6).alias("coverage"), "stale")
@@ -207,3 +207,27 @@ def module_cards(spark, d):
 def tool_use_hourly(spark, d):
     e = table(spark, d, "events").withColumnRenamed("event_type", "tool")
     return streams.per_window(e)
+
+
+@R.query("SELECT (SELECT count(*) FROM part) AS entity, (SELECT count(*) FROM supplier) AS symbol, (SELECT count(*) FROM region) AS module, (SELECT count(*) FROM documents) AS doc")
+def corpus_counts(spark, d):
+    kinds = {"part": "entity", "supplier": "symbol", "region": "module", "documents": "doc"}
+    rows = [table(spark, d, t).select(F.lit(k).alias("kind")) for t, k in kinds.items()]
+    return vector.corpus_counts(rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3]))
+
+
+@R.query("SELECT count(DISTINCT l_returnflag) AS tables, count(DISTINCT l_orderkey) AS queries, count(DISTINCT l_suppkey) AS files FROM lineitem")
+def dataflow_counts(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("table_name"), F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("path"))
+    return graph.counts(li)
+
+
+@R.query("""SELECT CAST(d.doc_id AS VARCHAR) AS key, CASE WHEN quality = 1 OR l.doc_id IS NULL THEN 1 ELSE 2 END AS version, CASE WHEN quality = 1 OR l.doc_id IS NULL THEN 1 ELSE 9 END AS updated_at,
+CASE WHEN l.doc_id IS NULL THEN d.doc_id ELSE 9 END AS last_access, CASE WHEN quality = 1 OR l.doc_id IS NULL THEN strlen(text) ELSE 3 END AS size FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def cache_put(spark, d):
+    """Labelled documents are put again, those of bad quality with another content."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
+    f = cache.fingerprint(F.col("text"))
+    have = docs.select("key", F.col("text").alias("content"), f["hash"].alias("hash"), F.lit(1).cast("long").alias("version"), f["confidence"].alias("confidence"), f["size"].alias("size"), F.lit(1).cast("long").alias("updated_at"), F.col("doc_id").alias("last_access"))
+    new = table(spark, d, "labels").join(docs, "doc_id").select("key", F.when(F.col("quality") == 1, F.col("text")).otherwise("new").alias("content"))
+    return cache.put(have, new, 9).select("key", "version", "updated_at", "last_access", "size")

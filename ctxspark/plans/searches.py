@@ -106,3 +106,66 @@ def rrf_fusion(spark, d):
     v = vector.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 20)
     b = search.numbered(v, 20, F.asc("distance"), F.asc("vec_id")).select(F.lit("doc").alias("kind"), F.col("vec_id").alias("id"), "rn", F.lit("vector").alias("label"))
     return search.fused_order(search.rrf([a, b])).select("id", F.round("score", 6).alias("score"))
+
+
+_FILE_QUERY = "small rings 000000007"
+_SEEDED = " OR ".join(f"contains(lower({{0}}), '{x}')" for x in search.query_variants(search.query_tokens(_FILE_QUERY)))
+_CUT = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda t: length(t) > 1))"
+
+
+@R.query(f"""WITH f AS (SELECT p_partkey AS id, p_name || '-' || p_partkey AS path FROM part), s AS (SELECT s_suppkey AS id, s_suppkey AS file_id, s_name AS name FROM supplier),
+e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderstatus = 'P'), z AS (SELECT id FROM s WHERE {_SEEDED.format("name")}),
+d1 AS (SELECT DISTINCT src AS id FROM e JOIN z ON dst = z.id), d2 AS (SELECT DISTINCT src AS id FROM e JOIN d1 ON dst = d1.id),
+p AS (SELECT file_id AS id, min(depth) AS depth FROM (SELECT file_id, 0 AS depth FROM s SEMI JOIN z USING (id) UNION ALL SELECT id, 0 FROM f WHERE {_SEEDED.format("path")}
+  UNION ALL SELECT file_id, 1 FROM s SEMI JOIN d1 USING (id) UNION ALL SELECT file_id, 2 FROM s SEMI JOIN d2 USING (id)) GROUP BY 1),
+c AS (SELECT id, path, depth FROM f JOIN p USING (id)), w AS (SELECT id, unnest({_CUT.format("path")}) AS term FROM c UNION ALL SELECT file_id, unnest({_CUT.format("name")}) FROM s SEMI JOIN c ON file_id = c.id),
+q AS (SELECT id, term, count(*) AS tf FROM w WHERE term IN ('small', 'rings', '000000007') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM q GROUP BY term), n AS (SELECT count(*) AS n FROM c),
+x AS (SELECT id, sum((1 + ln(tf)) * ln(1 + n / (1 + df))) AS score FROM q JOIN df USING (term), n GROUP BY id)
+SELECT path, round(0.6 * coalesce(score, 0) + 0.4 / (1 + depth), 6) AS score FROM c LEFT JOIN x USING (id)""")
+def retrieve_files(spark, d):
+    """Parts as files, suppliers as their symbols, open orders as edges from customers' numbers to orders' numbers."""
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("path"))
+    symbols = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("file_id"), F.col("s_name").alias("name"))
+    edges = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    found = search.retrieve(files, symbols, edges, _FILE_QUERY, (1 << 31) - 1)  # the whole ranking
+    return found.select("path", F.round("score", 6).alias("score"))
+
+
+_EXCERPT = r"coalesce(regexp_replace(list_filter(l[{0}:{1}], lambda x: regexp_matches(x, '^\s*[^\s/#*]'))[1], '^\s+|\s+$', '', 'g'), '{2}')"
+
+
+@R.query(f"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, {_EXCERPT.format(1, 3, "head")} || ' | none | ' || {_EXCERPT.format(4, 6, "tail")} AS s FROM a)
+SELECT doc_id, CASE WHEN length(s) > 200 THEN substring(s, 1, 197) || '...' ELSE s END AS summary FROM b""")
+def retrieve_summary(spark, d):
+    def symbol(name: str, start: int, end: int):
+        return F.struct(F.lit(name).alias("name"), F.lit(start).alias("start_line"), F.lit(end).alias("end_line"))
+
+    symbols = F.array(symbol("head", 1, 3), symbol("none", 0, 0), symbol("tail", 4, 6))
+    return table(spark, d, "documents").select("doc_id", search.summary(F.col("text"), symbols).alias("summary"))
+
+
+@R.query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name = 'red widget'")
+def symbols_named(spark, d):
+    return search.symbols_named(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "red widget")
+
+
+_KINDS = "['entity', 'symbol', 'module', 'doc'][CAST(label % 4 AS INT) + 1]"
+_HITS = f"""{_DIST}, k AS (SELECT {_KINDS} AS kind, 'v' || vec_id AS id, distance FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN kind IN ('module', 'doc') THEN 'doc' ELSE kind END ORDER BY distance, kind, id) AS rn FROM k),
+h AS (SELECT kind, id, 1 - distance * distance / 2 AS score FROM r WHERE rn <= 30 ORDER BY score DESC, list_position(['entity', 'symbol', 'module', 'doc', 'file'], kind), id LIMIT 30)"""
+
+
+def _hits(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("entity", "symbol", "module", "doc")]), (F.col("label") % 4 + 1).cast("int"))
+    id_ = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    stored = table(spark, d, "embeddings").select(kind.alias("kind"), id_.alias("doc_id"), F.lit("").alias("label"), F.lit("").alias("snippet"), F.lit(None).cast("string").alias("source_path"), "embedding")
+    return search.vector_hits(stored, _query_vector(spark, d), 30).select("kind", "id", "label", F.round("score", 6).alias("score"))
+
+
+@R.query(f"WITH {_HITS} SELECT kind, id, id AS label, round(score, 6) AS score FROM h")
+def vector_hits(spark, d):
+    return _hits(spark, d)
+
+
+@R.query(f"WITH {_HITS} SELECT kind, id, id AS label, round(score, 6) AS score FROM h WHERE kind = 'doc'")
+def hits_of_kind(spark, d):
+    return search.of_kind(_hits(spark, d), "doc")

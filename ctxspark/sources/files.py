@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
@@ -40,6 +41,30 @@ def ignored_dirs(repo: str) -> set[str]:
     return {*IGNORED, *(x for x in extra if isinstance(x, str))}
 
 
+def settings(repo: str) -> dict:
+    """repair_below, semantic, model, model_path and session_budget_ms; values of another kind count as not given. A model's
+    path must lie in the repository, unless the environment gives it."""
+    c = load_config(repo)
+    health, semantic, hooks = (x if isinstance(x := c.get(s), dict) else {} for s in ("health", "semantic", "hooks"))
+
+    def whole(x: object, default: int) -> int:
+        return x if isinstance(x, int) and not isinstance(x, bool) and x >= 0 else default
+
+    model, env, own = semantic.get("model"), os.environ.get("CTXSPARK_MODEL_PATH", "").strip(), semantic.get("model_path")
+    path = os.path.abspath(env) if env else None
+    if not env and isinstance(own, str) and own.strip():
+        root = os.path.abspath(repo)
+        at = os.path.normpath(os.path.join(root, own.strip()))
+        path = at if os.path.commonpath([root, at]) == root else None
+    return {
+        "repair_below": whole(health.get("repair_below"), 70),
+        "semantic": semantic.get("enabled") is True,
+        "model": model if model in ("minilm", "bge") else "minilm",
+        "model_path": path,
+        "session_budget_ms": whole(hooks.get("session_budget_ms"), 10_000),
+    }
+
+
 def language(path: str) -> str | None:
     return EXTENSIONS.get(os.path.splitext(path)[1].lower())
 
@@ -90,15 +115,20 @@ class SourceTreeReader(DataSourceReader):
     def __init__(self, options):
         self.root, self.step = options["path"], int(options.get("filesPerPartition", "256"))
         self.markdown = options.get("markdown", "false") == "true"
+        self.only = json.loads(options["only"]) if "only" in options else None
 
     def partitions(self):
+        if self.only is not None:
+            base = os.path.realpath(self.root)
+            own = [p for p in self.only if os.path.realpath(os.path.join(base, p)) == os.path.join(base, p) and os.path.isfile(os.path.join(base, p))]
+            return [_Batch([(p, 0, 0) for p in own])]
         found = walk(self.root, ignored_dirs(self.root), not self.markdown)
         keep = (lambda p: p.lower().endswith(".md")) if self.markdown else (lambda p: language(p) or p.lower().endswith(".sql") or posixpath.basename(p) in MANIFESTS)
         rows = sorted(x for x in found if keep(x[0]))
         return [_Batch(rows[i : i + self.step]) for i in range(0, len(rows), self.step)]
 
     def read(self, partition):
-        for path, mtime, size in partition.rows:
+        for path, mtime, size in partition.rows if partition else []:  # without partitions Spark gives None
             with open(os.path.join(self.root, path), encoding="utf-8", errors="replace") as f:
                 yield path, mtime, size, f.read()
 
@@ -108,6 +138,12 @@ def source_tree(spark: SparkSession, root: str, markdown: bool = False) -> DataF
     return spark.read.format("sourcetree").option("markdown", str(markdown).lower()).load(root)
 
 
+def some_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, content) of the few given paths below root; missing ones, links and paths that lead out have no row."""
+    spark.dataSource.register(SourceTree)
+    return spark.read.format("sourcetree").option("only", json.dumps(paths)).load(root).select("path", "content")
+
+
 def files_on_store(spark: SparkSession, glob: str, ignore: list[str] | None = None) -> DataFrame:
     """The same from any Hadoop file system, by Spark's binary reader."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)

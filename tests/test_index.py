@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ctxspark import build, cli, hooks
 from ctxspark.api import Api, local_request
-from ctxspark.operators import extract, repair
+from ctxspark.operators import extract, repair, search
 from ctxspark.sources import files as source
 from ctxspark.sources import gitlog, reports
 from ctxspark.store import Store
@@ -167,3 +167,56 @@ def test_extractors():
     assert extract.imports_of("require_relative 'h'\nrequire 'json'\n", "ruby") == [("./h", False), ("json", False)]
     assert [s[0] for s in extract.symbols_of("pub struct P;\nfn q() {}\n// fn no() {}\n", "rust")] == ["P", "q"]
     assert extract.symbols_of("def broken(", "python") == []
+
+
+def test_retrieve_has_symbols_and_a_summary(store, repo):
+    hit = Api(store, 1500, root=repo).retrieve("foo")[0]
+    assert set(hit) == {"path", "score", "symbols", "summary"} and hit["path"] == "src/a.ts"
+    assert [s["name"] for s in hit["symbols"]] == ["foo"] and hit["summary"] == "export function foo(x: number) {"
+    assert Api(store, 1500).retrieve("foo")[0]["summary"] == "" and Api(store, 1500).retrieve("zzz") == []
+
+
+def test_some_files_stay_below_the_root(spark, repo):
+    got = source.some_files(spark, repo, ["src/b.ts", "link/passwd", "../x", "none.ts"]).collect()
+    assert [r["path"] for r in got] == ["src/b.ts"]
+    assert source.some_files(spark, repo, []).count() == 0
+
+
+def test_entities_show_symbols_and_data_flow(store, repo):
+    foo = store.read("symbols").where("name = 'foo'").select(F.col("id").alias("symbol_id"))
+    entity = store.read("entities").where("name = 'initial-foo'").select(F.col("id").alias("entity_id"))
+    store.merge("entity_symbols", entity.crossJoin(foo))
+    found = Api(store, 1500, root=repo).tool("get_entity", {"entity_id": "initial-foo"})
+    assert [(s["name"], s["path"]) for s in found["symbols"]] == [("foo", "src/a.ts")] and found["data_flow"]["tables"] == store.read("query_tables").select("table_name").distinct().count()
+
+
+def test_embedding_follows_the_settings(spark, repo, store, tmp_path):
+    api = Api(store, 1500, root=str(tmp_path))
+    assert "hint" in api.auto_embed() and not api.embed_status()["available"]
+    (tmp_path / ".ctxspark.toml").write_text('[semantic]\nenabled = true\nmodel = "other"\nmodel_path = "../out"\n[health]\nrepair_below = 55\n[hooks]\nsession_budget_ms = "x"\n')
+    (tmp_path / "n.md").write_text("# One\ntext\n## Two\nmore\n")
+    assert source.settings(str(tmp_path)) == {"repair_below": 55, "semantic": True, "model": "minilm", "model_path": None, "session_budget_ms": 10_000}
+    total = api.embed_status()["total"]
+    assert api.auto_embed() == {"embedded": total} and api.auto_embed() == {"embedded": 0}
+    status = api.embed_status()
+    assert status["available"] and status["coverage"] == 1 and status["stale"] == 0 and status["corpus_counts"]["doc"] == 2
+
+
+def test_vector_hits_come_from_each_table(spark):
+    rows = [("entity", "e1", "E", [1.0, 0.0]), ("entity", "e2", "E", [0.9, 0.1]), ("module", "m", "", [1.0, 0.0]), ("doc", "d", "D", [0.0, 1.0]), ("symbol", "s", "S", [1.0, 0.0])]
+    stored = spark.createDataFrame([(*r, "x", None) for r in rows], "kind string, doc_id string, label string, embedding array<float>, snippet string, source_path string")
+    got = [(r["kind"], r["label"]) for r in search.vector_hits(stored, [1.0, 0.0], 3).collect()]
+    assert got == [("entity", "E"), ("symbol", "S"), ("module", "m")]
+    assert search.vector_hits(stored.limit(0), [1.0, 0.0], 3).count() == 0
+
+
+def test_hooks_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text("def f():\n    pass\n")
+    repo = ["--repo", str(tmp_path), "--json"]
+    assert cli.main([*repo, "hook", "session-start"]) == 0
+    steps = json.loads(capsys.readouterr().out)["steps"]
+    assert steps["index"] == 1 and steps["embed"] == "off" and list(steps) == ["sync", "index", "embed", "repair"]
+    assert cli.main([*repo, "hook", "post-tool-use", "--tool", "Read"]) == 0 and cli.main([*repo, "hook", "session-end", "--summary", "done"]) == 0
+    capsys.readouterr()
+    assert cli.main([*repo, "summarize-graph"]) == 0
+    assert json.loads(capsys.readouterr().out)["orphan_queries"] == 0
