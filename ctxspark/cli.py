@@ -18,6 +18,7 @@ from ctxspark.sources import files as source
 from ctxspark.sources import reports
 from ctxspark.store import Store
 from ctxspark.streaming.streams import sync_commits
+from ctxspark.streaming.watch import DEBOUNCE, watch
 
 STORE = ".ctxspark"
 HOOKS = ("session-start", "user-prompt-submit", "post-tool-use", "session-end")
@@ -61,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     for verb in ("summarize-graph", "git-index", "git-sync", "embed", "mcp"):
         s.add_parser(verb)
     s.add_parser("serve").add_argument("--port", type=int, default=0)
+    s.add_parser("watch").add_argument("--debounce", type=int, default=DEBOUNCE)
     x = s.add_parser("hook")
     x.add_argument("name", choices=HOOKS)
     for name, default in (("task", ""), ("tool", ""), ("session", "unknown"), ("summary", "")):
@@ -151,6 +153,13 @@ def run(a: argparse.Namespace, now: int) -> tuple[int, object]:
         server = serve(api, a.port)
         print(f"http://127.0.0.1:{server.server_port}", file=sys.stderr)
         server.serve_forever()
+    if verb == "watch":
+        if a.debounce < 0:
+            raise ValueError("--debounce must not be negative")
+        try:
+            watch(store, root, a.debounce, lambda x: print(x, flush=True))
+        except KeyboardInterrupt:
+            return 0, None
     if verb == "mcp":
         serve_tools(api)
         return 0, None
