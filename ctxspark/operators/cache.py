@@ -39,6 +39,11 @@ def get(cache: DataFrame, key: str) -> DataFrame:
     return cache.where(F.col("key") == key)
 
 
+def touch(cache: DataFrame, key: str, now: int) -> DataFrame:
+    """cache after key was read: its last_access is now."""
+    return cache.withColumn("last_access", F.when(F.col("key") == key, F.lit(now).cast("long")).otherwise(F.col("last_access")))
+
+
 def delete(cache: DataFrame, key: str) -> DataFrame:
     return cache.where(F.col("key") != key)
 

@@ -51,6 +51,7 @@ def ask(store: Store, model: Callable[[str], str], prompt: str, now: int) -> tup
     old = store.read("cache")
     hit = cache.get(old, cache_key(prompt)).first()
     if hit:
+        store.write(cache=cache.touch(old, cache_key(prompt), now))
         return hit["content"], True
     answer = model(prompt)
     new = store.spark.createDataFrame([(cache_key(prompt), answer)], "key string, content string")
