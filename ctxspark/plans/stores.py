@@ -136,6 +136,27 @@ def commit_files(spark, d):
     return gitlog.commit_files(log, _parts(spark, d))
 
 
+@R.query("""WITH b AS (SELECT event_id // 10 AS batch, min_by('sha-' || event_id, event_id) AS commit_sha, string_agg('Commit ' || substring('sha-' || event_id, 1, 7) || ' by ' || user_id || chr(10) || 'Message: ' || event_type || chr(10) || 'Diff: ' || substring('+ [REDACTED:api_key] ' || repeat('ab ', 300), 1, 800), chr(10) || chr(10) ORDER BY event_id) AS blocks FROM events GROUP BY 1) SELECT * FROM b""")
+def batch_prompts(spark, d):
+    """What follows the task in each prompt."""
+    e = table(spark, d, "events")
+    diff = F.concat(F.lit("+ password = '"), F.lpad(_text("event_id"), 9, "x"), F.lit("' "), F.repeat(F.lit("ab "), 300))
+    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("sha-"), _text("event_id")).alias("sha"), _text("user_id").alias("author"), F.col("event_type").alias("message"), diff.alias("diff"))
+    p = gitlog.batch_prompts(log)
+    return p.select("batch", "commit_sha", F.regexp_replace("prompt", r"(?s)^.*?\n\n", "").alias("blocks"))
+
+
+@R.query("""SELECT event_id AS batch, type, name, CASE WHEN type = 'decision' THEN 'why' ELSE '' END AS content, CAST(user_id AS VARCHAR) AS commit_sha
+FROM events, (VALUES ('decision', 'a-'), ('bug_fix', 'b-')) t(type, prefix), LATERAL (SELECT prefix || event_type AS name) WHERE event_id % 3 <> 0""")
+def batch_answers(spark, d):
+    """Fenced answers with two good entities, one of no known type and one without a name; every third is cut off."""
+    kind = F.col("event_type")
+    body = F.concat(F.lit('{"entities": [{"type": "decision", "name": " A-'), kind, F.lit('", "content": "why"}, {"type": "bug_fix", "name": "b-'), kind, F.lit('"}, {"type": "guess", "name": "x"}, {"type": "pattern", "name": " "}]'))
+    answer = F.when(F.col("event_id") % 3 == 0, body).otherwise(F.concat(F.lit("```json\n"), body, F.lit("}\n```")))
+    answers = table(spark, d, "events").select(F.col("event_id").alias("batch"), _text("user_id").alias("commit_sha"), answer.alias("answer"))
+    return gitlog.answered_entities(answers).drop("id")
+
+
 # --- data flow
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ctxspark.functions import text as X
 
 DIFF = 4000
+#: Fixed value: characters of a diff in a prompt.
+PROMPT_DIFF = 800
 _FORMAT = "%x1e%H%x1f%P%x1f%an%x1f%aI%x1f%cI%x1f%s"
 
 
@@ -76,6 +81,57 @@ def batches(log: DataFrame, size: int = 10) -> DataFrame:
     return log.withColumn("batch", F.floor(F.col("seq") / size))
 
 
+def with_diffs(log: DataFrame, root: str) -> DataFrame:
+    """log with each commit's diff, read where the rows are; the repository must be mounted there."""
+
+    @F.pandas_udf(T.StringType())
+    def read(sha: pd.Series) -> pd.Series:
+        return sha.map(lambda s: diff(root, s))
+
+    return log.withColumn("diff", read("sha"))
+
+
+def sanitized(text: Column) -> Column:
+    """A diff without secrets, known ones by pattern and others by entropy."""
+    from ctxspark.functions.udfs import redact_entropy
+
+    return redact_entropy(X.redact_patterns(text))
+
+
+def batch_prompts(log: DataFrame, size: int = 10) -> DataFrame:
+    """(batch, commit_sha, prompt) for log(seq, sha, author, message, diff): what a model is asked about size commits in their
+    order, diffs redacted and cut; commit_sha is the first commit."""
+    cut = F.substring(sanitized(F.coalesce("diff", F.lit(""))), 1, PROMPT_DIFF)
+    block = F.concat_ws("\n", F.concat(F.lit("Commit "), F.substring("sha", 1, 7), F.lit(" by "), F.coalesce("author", F.lit("unknown"))), F.concat(F.lit("Message: "), F.coalesce("message", F.lit(""))), F.concat(F.lit("Diff: "), cut))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "block"))), lambda x: x["block"])  # size rows
+    task = (
+        "Read these commits and tell what they show about the code. Answer with JSON alone: an object with a list entities, each "
+        f"with type (one of {', '.join(k for k, _ in X.TYPE_WORDS)}), name (lower case, words joined by -) and content (what and why).\n\n"
+    )
+    b = batches(log.withColumn("block", block), size).groupBy("batch").agg(F.min_by("sha", "seq").alias("commit_sha"), F.array_join(ordered, "\n\n").alias("blocks"))
+    return b.select("batch", "commit_sha", F.concat(F.lit(task), "blocks").alias("prompt"))
+
+
+def answered_entities(answers: DataFrame) -> DataFrame:
+    """(batch, id, type, name, content, commit_sha) from answers(batch, commit_sha, answer): entities of a known type with a
+    name. An answer that isn't the JSON asked for has none; fences around it are taken off."""
+    asked = F.from_json(X.strip_fences(F.col("answer")), "entities array<struct<type:string,name:string,content:string>>")
+    e = answers.select("batch", "commit_sha", F.explode(asked["entities"]).alias("e"))
+    name = X.trim(F.lower("e.name"))
+    e = e.where(F.col("e.type").isin(*[k for k, _ in X.TYPE_WORDS])).select("batch", F.col("e.type").alias("type"), name.alias("name"), F.coalesce("e.content", F.lit("")).alias("content"), "commit_sha").where("name <> ''")
+    return e.select("batch", X.entity_id(F.col("type"), F.col("name")).alias("id"), "type", "name", "content", "commit_sha")
+
+
+def model_entities(log: DataFrame, model: Callable[[str], str], size: int = 10) -> DataFrame:
+    """Entities that a model finds in log(seq, sha, author, message, diff). The model is called on the executors."""
+
+    @F.pandas_udf(T.StringType())
+    def ask(prompt: pd.Series) -> pd.Series:
+        return prompt.map(model)
+
+    return answered_entities(batch_prompts(log, size).select("batch", "commit_sha", ask("prompt").alias("answer")))
+
+
 def commit_rows(log: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return log.select("sha", "message", "author", "author_date", "committer_date", zero.alias("insertions"), zero.alias("deletions"), "parent_sha", X.commit_type(F.col("message")).alias("commit_type"), "seq")
