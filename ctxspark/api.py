@@ -128,9 +128,13 @@ class Api:
         hint = {} if available else {"hint": "run embed" if own["semantic"] else f"run embed, then set enabled = true under [semantic] in {source.CONFIG}"}
         return status | hint | {"available": available, "model": embedder.model, "dim": embedder.dim, "corpus_counts": rows(vector.corpus_counts(corpus))[0]}
 
+    def entity_index(self) -> tuple[DataFrame, DataFrame] | None:
+        """The kept index, where the store has one."""
+        return (self.t("postings"), self.t("posting_lengths")) if self.store.has("postings") else None
+
     def search(self, query: str, limit: int = 20, mode: str | None = None) -> list[dict]:
         """Entities by BM25; semantic and hybrid add vectors where there are some, else fall back to the lexical list."""
-        lexical = search.search_entities(self.t("entities"), self.t("backlinks"), query, limit)
+        lexical = search.search_entities(self.t("entities"), self.t("backlinks"), query, limit, self.entity_index())
         if mode in (None, "lexical"):
             return rows(lexical)
         if mode not in MODES:

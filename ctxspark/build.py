@@ -14,7 +14,8 @@ from ctxspark.streaming.streams import sync_commits
 
 
 def index_tree(store: Store, tree: DataFrame, now: int, force: bool = False) -> int:
-    """Build from a snapshot of the tree; only changed files are parsed, all imports are resolved against it. The number of
+    """Build from a snapshot of the tree; only changed files are parsed; the specifiers of the others are kept, and all are resolved
+    anew, as files come and go. The number of
     changed files."""
     tree = tree.persist()
     old = store.read("files")
@@ -35,10 +36,12 @@ def index_tree(store: Store, tree: DataFrame, now: int, force: bool = False) ->
     queries = extract.sql_queries(todo)
     store.write(symbols=children("symbols", extract.symbols(found)), sql_queries=children("sql_queries", queries.drop("tables")))
     symbols = store.read("symbols")
-    all_imports = extract.imports(extract.extract(tree))
+    specifiers = ["id", "file_id", "source", "static"]
+    kept = store.read("imports").join(fresh, "file_id", "left_anti").join(ids, "file_id", "left_semi")
+    all_imports = kept.select(*specifiers).unionByName(extract.imports(found).select(*specifiers))
     crates = tree_dirs(tree)
     module = next((r["module"] for r in resolve.go_module(tree).collect()), None)
-    resolved = resolve.resolve(all_imports.drop("n"), files, resolve.packages(tree), module, crates)
+    resolved = resolve.resolve(all_imports, files, resolve.packages(tree), module, crates)
     store.write(imports=resolved, query_tables=extract.query_tables(extract.sql_queries(tree)), requirement_code_links=extract.requirement_links(tree, symbols))
     store.write(edges=graph.representative_edges(store.read("imports").where("resolved_file_id IS NOT NULL"), symbols))
     for x in (found, todo, tree):

@@ -57,6 +57,21 @@ def bm25_topk(spark, d):
     return b.select("doc_id", F.round(F.col("rank") * 1e6, 3).alias("rank")).orderBy("rank", "doc_id").limit(K)
 
 
+@R.query(f"WITH {_BM25} SELECT doc_id, round(rank * 1e6, 3) AS rank FROM b")
+def bm25_indexed(spark, d):
+    """Every hit, by way of the inverted index."""
+    index = search.postings(table(spark, d, "documents"), "doc_id", _plain(F.col("text")))
+    b = search.bm25_postings(*index, search.phrases(PHRASES))
+    return b.select(F.col("id").alias("doc_id"), F.round(F.col("rank") * 1e6, 3).alias("rank"))
+
+
+@R.query("""SELECT term, doc_id, len(positions) AS tf, array_to_string(positions, ',') AS positions FROM (SELECT term, doc_id, list(pos ORDER BY pos) AS positions FROM
+(SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM documents)) GROUP BY ALL)""")
+def postings(spark, d):
+    found, _ = search.postings(table(spark, d, "documents"), "doc_id", _plain(F.col("text")))
+    return found.select("term", F.col("id").alias("doc_id"), F.size("positions").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
+
+
 @R.query()
 def bm25_porter_topk(spark, d):
     b = search.bm25(table(spark, d, "documents"), "doc_id", stem_tokens(F.col("text")), search.phrases("licensing works", stemmed_tokens))

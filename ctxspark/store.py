@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ctxspark.schema import KEYS, SCHEMAS
 
-VERSION = 7
+VERSION = 8
 #: Pointers that stay beside the newest.
 KEPT = 4
 
@@ -55,6 +55,10 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/v{at}")
 
+    def has(self, table: str) -> bool:
+        """Whether the table was ever written."""
+        return table in self._read_pointer()["tables"]
+
     def write(self, **tables: DataFrame) -> None:
         """Replace tables, all in one step: the pointer moves once all are written."""
         pointer = self._read_pointer()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxspark.operators import search
 from ctxspark.sources import gitlog
 from ctxspark.store import Store
 
@@ -34,13 +35,19 @@ def per_window(events: DataFrame, window: str = "1 hour", late: str = "10 minute
 
 
 def merge_entities(store: Store, found: DataFrame) -> None:
-    """Add found entities (as of gitlog) to the table: contents are appended, created_at stays, last_seen is now."""
+    """Add found entities (as of gitlog) to the table: contents are appended, created_at stays, last_seen is
+    now. The search index changes with them, for these entities only; all tables move in one step."""
     have = store.read("entities")
     old = have.select(F.lit(-1).cast("long").alias("seq"), "id", "type", "name", "content", "commit_sha")
     touched = old.join(found.select("id").distinct(), "id", "left_semi").unionByName(found.select(*old.columns))
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     new = gitlog.accumulated(touched).join(have.select("id", F.col("created_at").alias("_at"), F.col("tags").alias("_tags")), "id", "left")
-    store.merge("entities", new.withColumns({"created_at": F.coalesce("_at", now), "last_seen": now, "tags": F.coalesce("_tags", F.array().cast("array<string>"))}).drop("_at", "_tags"))
+    new = new.withColumns({"created_at": F.coalesce("_at", now), "last_seen": now, "tags": F.coalesce("_tags", F.array().cast("array<string>"))}).drop("_at", "_tags").persist()
+    ids = new.select("id")
+    merged = have.join(ids, "id", "left_anti").unionByName(new)
+    tables = zip(("postings", "posting_lengths"), search.entity_postings(new if store.has("postings") else merged), strict=True)
+    store.write(entities=merged, **{name: store.read(name).join(ids, "id", "left_anti").unionByName(rows) for name, rows in tables})
+    new.unpersist()
 
 
 def sync_commits(store: Store, root: str) -> int:
