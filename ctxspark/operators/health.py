@@ -71,7 +71,8 @@ def issue_summary(found: DataFrame, groups: int = ISSUE_GROUPS) -> DataFrame:
 
 
 def issue_page(found: DataFrame, limit: int = ISSUE_LIMIT, offset: int = 0) -> DataFrame:
-    return found.orderBy("seq").offset(max(0, offset)).limit(max(0, limit))
+    """Rows by seq; equal ones by message, type and location, all descending, so that pages neither share nor lose a row."""
+    return found.orderBy("seq", F.desc("message"), F.desc("type"), F.desc("location")).offset(max(0, offset)).limit(max(0, limit))
 
 
 def report(files: DataFrame, imports: DataFrame, signals: DataFrame, now: int, limit: int = ISSUE_LIMIT, offset: int = 0) -> dict:

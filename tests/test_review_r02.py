@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ctxspark.functions import text as X
-from ctxspark.operators import graph, resolve, search
+from ctxspark.operators import graph, health, resolve, search
 from ctxspark.store import Store
 
 
@@ -71,3 +71,11 @@ def test_texts_are_cut_once(spark):
     assert scored.count() == 40
     scored.collect()
     assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_issues_do_not_depend_on_the_plan(spark):
+    """Equal seq at page ends: any order of rows gives the same pages, which together hold each row once."""
+    rows = [(n // 4, "broken_import", f"unresolved import: part-{n * 7 % 12}", "x") for n in range(12)]
+    pages = lambda own: [[tuple(r) for r in health.issue_page(spark.createDataFrame(own, "seq long, type string, message string, location string").coalesce(1), 3, at).collect()] for at in range(0, 12, 3)]
+    got = pages(rows)
+    assert got == pages(rows[::-1]) and sorted(sum(got, [])) == sorted(rows)
